@@ -17,10 +17,10 @@ QUOTED = r"\"[^\"\n]{1,120}\"|«[^»\n]{1,120}»|„[^“”\n]{1,120}[“”]|
 #: Unfilled fields; letter case counts. A field of a page template has a name or an instruction between its marks.
 FIELDS = (
     r"\{\{\{? ?[\w.]+ ?\}?\}\}", r"\$\{ ?[\w.]+ ?\}", r"<%=? ?[\w.]+ ?%>", r"\{% ?[\w.]+ ?%\}", r"#\{ ?[\w.]+ ?\}", r"\[\[ ?[\w.]+ ?\]\]",
-    r"<<? ?[a-z]+[_.][\w.]+ ?>>?", r"<<\w+>>", r"&lt; ?[\w.]+ ?&gt;", r"\{[a-zà-ÿ]+(?:[_.][\w.]+)?\}", r"%[A-ZÀ-Þ]+(?:_[A-ZÀ-Þ]+)*%", r"\$[A-ZÀ-Þ]+(?:_[A-ZÀ-Þ]+)*\$",
-    r"@@[A-ZÀ-Þ_]+@@", r"__[A-ZÀ-Þ]+(?:_[A-ZÀ-Þ]+)*__", r"\[[A-ZÀ-Þ]{2,}(?:_[A-ZÀ-Þ]+)+\]", r"\[object Object\]",
+    r"<<? ?[a-z]+[_.][\w.]+ ?>>?", r"<<\w+>>", r"&lt; ?[\w.]+ ?&gt;", r"\{[a-zà-ÿ]+(?:[_.][\w.]+)?\}", r"%[A-ZÀ-Þ]+(?:_[A-ZÀ-Þ]+){0,8}%", r"\$[A-ZÀ-Þ]+(?:_[A-ZÀ-Þ]+){0,8}\$",
+    r"@@[A-ZÀ-Þ_]+@@", r"__[A-ZÀ-Þ]+(?:_[A-ZÀ-Þ]+){0,8}__", r"\[[A-ZÀ-Þ]{2,40}(?:_[A-ZÀ-Þ]+){1,8}\]", r"\[object Object\]",
     r"(?i)[\[(<][^\])>\n]{0,30}\b(?:insert(?:ed|ar|e)?|inserire|ins[ée]rer|einf[üu]gen|einsetzen|einzuf[üu]gen|einzusetzen|eintragen|enter|placeholder|segnaposto|platzhalter|to be (?:added|completed|confirmed))\b[^\])>\n]{0,40}[\])>]",
-    r"\[[A-ZÀ-Þ]{4,}(?: [A-ZÀ-Þ]+)*\]",
+    r"\[[A-ZÀ-Þ]{4,40}(?: [A-ZÀ-Þ]+){0,8}\]",
     r"(?i)\[(?:party|member|speaker|item|group|date|sitting|chamber|gruppo|oratore|data|nome|nom|groupe|orateur|name|fraktion|redner|datum|grupo|orador|nombre|fecha)(?: (?:name|title|number|text|date|of \w+|del? \w+|der \w+|du \w+))?\]",
 )
 #: What a template prints for a missing value, where a name or a text should be.
@@ -45,7 +45,7 @@ FILLER = (
     _START + r"(?:inserire|inserisci|scrivere) qui\b|" + _START + r"(?:ins[ée]re[rz]|écri(?:re|vez)) ici\b|" + _START + r"(?:votre|le) texte (?:vient |va |viendra )?ici\b|" + _START + r"(?:il tuo |il vostro |il )?testo (?:va |andrà )?qui\b",
     _START + r"(?:inserte|insertar|escriba|escribir) aquí\b|" + _START + r"(?:su |el )?(?:texto|contenido) (?:va |irá )?aquí\b|" + _START + r"hier (?:steht|kommt|folgt|erscheint) (?:später )?(?:die|der|ihr|ihre) (?:rede|text|inhalt)\b|" + _START + r"(?:ihr |hier )?(?:text|inhalt) (?:hier|hier einfügen|einfügen)\b",
     _START + r"(?:qui|ici|aquí|here) (?:(?:più tardi|plus tard|más tarde|later) )?(?:comparirà|andrà|figurera|viendra|irá|aparecerá|will be|goes|comes) (?:\w+ )?(?:il testo|l'intervento|le texte|l'intervention|el texto|el discurso|la intervención|the text|the speech)\b",
-    _START + r"(\w{3,12})(?:[\s,.…-]+\1\b){2,}[\s.,!…-]*$", r"\b(test|prova|essai|prueba|probe|testo|texte|texto|text|asdf|jkl|qwerty|bla|blah|xxx+)(?:[\s,.]+\2\b){2,}", r"\basdf(?:asdf|ghjk)|\basdf asdf\b|\bqwertyuiop\b",
+    _START + r"(\w{3,12})(?:[\s,.…-]{1,3}\1\b){3}", r"\b(test|prova|essai|prueba|probe|testo|texte|texto|text|asdf|jkl|qwerty|bla|blah|xxx+)(?:[\s,.]{1,3}\2\b){2}", r"\basdf(?:asdf|ghjk)|\basdf asdf\b|\bqwertyuiop\b",
 )
 
 _THING_EN = r"(?:page|record|transcript|document|file|resource|url|address|link|item|report|content|debate|sitting|speech|entry|archive|service|site|server|session)"
@@ -63,7 +63,7 @@ ERRORS = (
     r"\bbad gateway\b|\bgateway time-?out\b|\bservice (?:is )?(?:temporarily )?unavailable\b|\bupstream (?:request )?(?:timeout|timed out|connect)|\bconnection (?:to \w+ )?(?:refused|reset|timed out)\b|\bedge gateway\b",
     r"\bservizio (?:\w+mente )?non disponibile\b|\bservice (?:\w+ment )?indisponible\b|\bdienst (?:ist )?(?:vorübergehend|derzeit|zurzeit) nicht (?:verfügbar|erreichbar)\b|\bservicio (?:\w+mente )?no disponible\b",
     r"^\W*(?:too many requests|troppe richieste|trop de (?:requêtes|demandes)|zu viele anfragen|demasiadas (?:solicitudes|peticiones)|sessione scaduta|session expir(?:ed|ée)|sitzung abgelaufen|sesión caducada)\b",
-    r"^\W*(?:uncaught |fatal |unhandled )?\w*(?:exception|reference|error) (?:at|in) \w+\.\w+|^\W*at \w+(?:\.\w+)+(?:\(|$)|\btraceback \(most recent\b|\bfailed to open stream\b|\bno such file\b|^\W*(?:warning|notice|fatal error): \w+\(|\bquery failed\b|\brelation \S+ does not exist\b|\b(?:fetch|request|load) (?:aborted|failed|timed out) after\b|\bsyntax error (?:at|near)\b|\bstack trace\b\W|\bsegmentation fault\b|\bcannot read propert",
+    r"^\W*(?:uncaught |fatal |unhandled )?\w*(?:exception|reference|error) (?:at|in) \w+\.\w+|^\W*at \w+(?:\.\w+){1,20}(?:\(|$)|\btraceback \(most recent\b|\bfailed to open stream\b|\bno such file\b|^\W*(?:warning|notice|fatal error): \w+\(|\bquery failed\b|\brelation \S+ does not exist\b|\b(?:fetch|request|load) (?:aborted|failed|timed out) after\b|\bsyntax error (?:at|near)\b|\bstack trace\b\W|\bsegmentation fault\b|\bcannot read propert",
     rf"{_START}(?:access denied|accesso negato|accès refusé|zugriff verweigert|acceso denegado|forbidden)\b",
     r"\b(?:you do not|you don't) have permission to (?:view|access|see|open)\b|\bnon (?:avete|hai|dispone|si dispone)[^.]{0,20}(?:permess|autorizzazion)[^.]{0,40}(?:risorsa|pagina|server)|\bvous n'avez pas (?:la permission|l'autorisation|le droit)[^.]{0,40}(?:ressource|page|serveur)|\bkeine berechtigung[^.]{0,50}(?:ressource|seite|server)|\bno tiene permiso[^.]{0,40}(?:recurso|página|servidor)",
     rf"{_START}(?:{_SORRY} )?(?:the|this|your|a) (?:requested )?{_THING_EN}\b(?:{_GAP}|\s+)(?:could not be|cannot be|can't be|was not|not|failed to|has expired|have expired|does not exist|doesn't exist|is no longer|no longer|requires? (?:you )?to (?:sign|log)|is being (?:rebuilt|moved|updated)|is (?:temporarily |currently )?(?:unavailable|under maintenance|missing|gone)|may have been (?:moved|deleted|removed)|was unable to complete|did not (?:respond|answer)|timed out|took too long)\b[^.!?]{{0,60}}(?:$|[.!?…])",
@@ -111,7 +111,7 @@ ERROR_WORDS = (
     "introuvable pas_pu_ affich nécessite requiert exige déplacée supprimée réessay numéro identifiant référence contactez session_ vérifiez expiré maintenance "
     "gefunden gibt existiert konnte angezeigt abgelaufen verlangt erfordert verschoben gelöscht entfernt lässt ließ geantwortet erneut vorgangs anfrage referenz wenden wartung prüfen ursache erreichbar verfügbar neu_auf "
     "encuentra encontrad mostrar cargar caducad movid eliminad vuelva inténtelo reintente código identificador referencia contacte servidor compruebe causa reconstru pudo pud respond too_many troppe_ trop_de zu_viele demasiadas "
-    "exception nullreference traceback warning notice fatal query relation fetch load syntax stack segmentation status serveur_n server_h server_k no_está_disponible n'est_pas non_disponibile no_disponible page_non"
+    "exception nullreference traceback warning notice fatal query relation fetch load syntax stack segmentation status serveur_n server_n server_h server_k no_está_disponible n'est_pas non_disponibile no_disponible page_non"
 )
 SCRIPT_WORDS = "javascript java js script skript noscript checking browser navigateur navegador comprobando leer scripting"
 
