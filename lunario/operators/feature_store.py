@@ -84,8 +84,7 @@ class FeatureStore:
             gone = [b for b in changed if b not in now]
             parts = self._partials(todo)
             if gone:  # an empty bucket is written as one row without entity, which no merge counts
-                cols = parts.schema
-                parts = parts.unionByName(spark.createDataFrame([{"secchio": b} for b in gone], cols))
+                parts = parts.unionByName(spark.createDataFrame([(b,) for b in gone], "secchio string"), allowMissingColumns=True)
             parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("secchio").parquet(f"{self.path}/parziali")
             rows = [(b, n, h) for b, (n, h) in now.items()]
             spark.createDataFrame(rows, "secchio string, righe bigint, impronta bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/impronte")

@@ -23,7 +23,7 @@ DAYS = {1: "mon lun", 2: "tue mar", 3: "wed mer", 4: "thu gio", 5: "fri ven", 6:
 
 _CLOCK = r"(\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d{1,9}))?)?"
 _HALF = r"(?: ?([AaPp][Mm]))?"
-_ZONE = r"(?: ?(Z|z|(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|[A-Za-z]{2,5}))?(?: ?\[([A-Za-z_]+(?:[/+-][A-Za-z0-9_+-]+)*)\])?"
+_ZONE = r"(?: ?(Z|z|(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|[A-Za-z]{2,5}))?(?: ?\[([A-Za-z_]+(?:[/+-][A-Za-z0-9_+-]+){0,3})\])?"
 _TIME = rf"(?:(?:[Tt]|,? +){_CLOCK}{_HALF}{_ZONE})?"
 #: The cascade: name, anchored pattern, and what its groups are, joined by ``|`` in the order of ``PARTS``.
 PARTS = ("order", "a", "b", "c", "h", "mi", "s", "f", "half", "zone", "region", "dow")
