@@ -73,7 +73,8 @@ _KEYS = "user_id, bucket_start, bucket_start + INTERVAL 7 DAY - INTERVAL 1 SECON
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(f"`{n}`"), 4).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+    """Doubles to four places; means a little up, so that exact halves round alike everywhere."""
+    return df.select(*[F.round(F.col(f"`{n}`") + (1e-9 if n.startswith("avg") else 0), 4).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
 def _aggregated(*aggregations: Aggregation):
@@ -88,7 +89,7 @@ def _aggregated_sql(*columns: tuple[str, str]) -> str:
     return f"{_W} SELECT {_KEYS}, " + ", ".join(f'{sql} AS "{name}"' for sql, name in columns) + " FROM w GROUP BY user_id, bucket_start"
 
 
-_SQL_AGG = {"sum": "round(sum(value), 4)", "count": "count(value)", "avg": "round(avg(value), 4)", "min": "round(min(value), 4)", "max": "round(max(value), 4)"}
+_SQL_AGG = {"sum": "round(sum(value), 4)", "count": "count(value)", "avg": "round(avg(value) + 1e-9, 4)", "min": "round(min(value), 4)", "max": "round(max(value), 4)"}
 for _fn, _text in _SQL_AGG.items():
     register(f"agg_{_fn}", _aggregated(Aggregation("value", _fn)), _aggregated_sql((_text, f"{_fn}(value)")))
 register("agg_first_last", lambda s, d: _first_last(s, d))
@@ -122,7 +123,7 @@ _TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def _cell(fn: str, where: str) -> str:
-    return f"CASE WHEN count(*) FILTER ({where}) > 0 THEN count(value) FILTER ({where}) END" if fn == "count" else f"round({fn}(value) FILTER ({where}), 4)"
+    return f"CASE WHEN count(*) FILTER ({where}) > 0 THEN count(value) FILTER ({where}) END" if fn == "count" else f"round({fn}(value) FILTER ({where}){' + 1e-9' if fn == 'avg' else ''}, 4)"
 
 
 register("pivot_explicit", _aggregated(Aggregation("value", "sum", pivot=Pivot("event_type", "=", ["view", "click"]))), _aggregated_sql(*[(_cell("sum", f"event_type = '{t}'"), f"sum(value)_where_event_type={t}") for t in ("view", "click")]))
@@ -132,7 +133,7 @@ register("pivot_count_null", _aggregated(Aggregation("value", "count", pivot=Piv
 register(
     "multi_agg",
     _aggregated(Aggregation("value", "sum"), Aggregation("value", "avg", [Filter("event_type", "=", "view")]), Aggregation("value", "count", pivot=Pivot("event_type", "=", ["error"])), Aggregation("value", "min", [Filter("value", ">", 1)])),
-    _aggregated_sql(("round(sum(value), 4)", "sum(value)"), ("round(avg(value) FILTER (event_type = 'view'), 4)", "avg(value)_where_event_type=view"), (_cell("count", "event_type = 'error'"), "count(value)_where_event_type=error"), ("round(min(value) FILTER (value > 1), 4)", "min(value)_where_value>1")),
+    _aggregated_sql(("round(sum(value), 4)", "sum(value)"), ("round(avg(value) FILTER (event_type = 'view') + 1e-9, 4)", "avg(value)_where_event_type=view"), (_cell("count", "event_type = 'error'"), "count(value)_where_event_type=error"), ("round(min(value) FILTER (value > 1), 4)", "min(value)_where_value>1")),
 )
 register(
     "naming_pattern",

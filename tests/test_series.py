@@ -78,7 +78,7 @@ def test_features_against_plain_python(spark):
         "mean_change": (x[-1] - x[0]) / (n - 1), "mean_second_derivative_central": (x[-1] - x[-2] - x[1] + x[0]) / (2 * (n - 2)), "first_location_of_maximum": 0.9, "last_location_of_minimum": 0.6,
         "quantile__q_0dot3": np.quantile(x, 0.3), "number_peaks__n_1": 2, "c3__lag_1": np.mean(x[2:] * x[1:-1] * x[:-2]), "time_reversal_asymmetry_statistic__lag_2": np.mean(x[4:] ** 2 * x[2:-2] - x[2:-2] * x[:-4] ** 2),
         "autocorrelation__lag_2": ((x[2:] - x.mean()) * (x[:-2] - x.mean())).sum() / ((n - 2) * x.var()), "cid_ce__normalize_False": math.sqrt(d @ d), "longest_strike_above_mean": 2, "longest_strike_below_mean": 2,
-        "sum_of_reoccurring_values": 1 + 2 + 4, "sum_of_reoccurring_data_points": 2 + 4 + 8, "percentage_of_reoccurring_datapoints_to_all_datapoints": 0.6, "has_duplicate_max": 0, "number_crossing_m__m_1": 6,
+        "sum_of_reoccurring_values": 1 + 2 + 4, "sum_of_reoccurring_data_points": 2 + 4 + 8, "percentage_of_reoccurring_datapoints_to_all_datapoints": 0.6, "has_duplicate_max": 0, "number_crossing_m__m_1": 5,
         "linear_trend__attr_slope": np.polyfit(range(n), x, 1)[0], "fft_coefficient__attr_abs__coeff_1": abs(np.fft.rfft(x)[1]), "binned_entropy__max_bins_10": -sum(p * math.log(p) for p in np.histogram(x, 10)[0] / n if p),
         "mean_n_absolute_max__number_of_maxima_7": np.sort(x)[-7:].mean(), "ratio_beyond_r_sigma__r_1": (np.abs(x - x.mean()) > x.std()).mean(),
     }
