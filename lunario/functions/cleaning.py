@@ -22,7 +22,8 @@ def canonical_name(text: Column) -> Column:
     Null stays null; a text of blanks only gives null.
     """
     name = F.regexp_replace(F.lower(strip(text)), rf"(?:{BLANK}|[_-])+", "_")
-    return F.nullif(name, F.lit(""))
+    plain = text.rlike("^[a-z0-9]+(?:_[a-z0-9]+){0,5}$")  # as most are
+    return F.when(plain, text).otherwise(F.nullif(name, F.lit("")))
 
 
 def number_or_null(value: Column) -> Column:

@@ -21,7 +21,8 @@ class FeatureStore:
 
     ``types``: name of a type column -> expression; an event's type is the tuple of these. ``amount`` is summed in
     whole cents; null, NaN and infinite amounts count as events but add nothing. ``event_id``: repeated deliveries of
-    one id within a bucket count once (with the least of each field if they differ); events without id count each.
+    one id and type within a bucket count once (with the least of each other field if they differ); events without id
+    count each.
     Events without entity belong to no row. Events without time have a bucket of their own and no date. Null types are
     a type of their own and take part in the totals over all types only.
 
@@ -52,14 +53,14 @@ class FeatureStore:
         if not self.event_id:
             return e
         e = e.withColumn("_row", F.when(F.col("_e").isNull(), F.monotonically_increasing_id()))
-        rest = [c for c in e.columns if c not in ("_e", "_row", "secchio")]
-        return e.groupBy("_e", "_row", "secchio").agg(*[F.min(c).alias(c) for c in rest])
+        keys = ["_e", "_row", "secchio", *self.types]
+        return e.groupBy(*keys).agg(*[F.min(c).alias(c) for c in ("entita", "t", "c")])
 
     def fingerprints(self, events: DataFrame) -> DataFrame:
-        """(secchio, righe, impronta): what a bucket's rows are, whatever their order."""
-        e = self._events(events)
-        h = F.xxhash64(*[F.col(c) for c in e.columns if c != "secchio"])
-        return e.groupBy("secchio").agg(F.count("*").alias("righe"), F.sum(F.pmod(h, F.lit(2**31 - 1))).alias("impronta"))
+        """(secchio, righe, impronta): what a bucket's rows are, whatever their order; over all columns of ``events``."""
+        secchio = F.coalesce(F.date_format(F.to_date(wall(F.col(self.time))), "yyyy-MM"), F.lit(NO_TIME)).alias("secchio")
+        rows = events.where(F.col(self.entity).isNotNull()).select(secchio, F.xxhash64(*[F.col(f"`{c}`") for c in events.columns]).alias("h"))
+        return rows.groupBy("secchio").agg(F.count("*").alias("righe"), F.sum(F.pmod("h", F.lit(2**31 - 1))).alias("impronta"))
 
     def _kept(self, spark: SparkSession) -> dict[str, tuple]:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/impronte")
