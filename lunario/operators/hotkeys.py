@@ -49,11 +49,11 @@ def per_key(df: DataFrame, key: str, value: str, *, per_thousand: Sequence[int]
 
 
 def heavy_keys(df: DataFrame, key: str, value: str, least_share: tuple[int, int] = (1, 100)) -> DataFrame:
-    """Non-null keys that hold at least ``least_share`` of all rows of ``df``, with their row count and the total.
+    """Non-null keys that hold at least ``least_share`` of all rows of ``df``, with their row count.
 
     Counts come from :func:`per_key`. A table without rows has no heavy key.
     """
     num, den = least_share
-    total = F.broadcast(df.agg(F.count("*").alias("n_totale")))  # one row
+    total = df.select(F.count("*")).scalar()
     keys = per_key(df, key, value).select(key, "n_righe").where(F.col(key).isNotNull())
-    return keys.join(total, F.col("n_righe") * den >= F.col("n_totale") * num)
+    return keys.where(F.col("n_righe") * den >= total * num)

@@ -174,7 +174,7 @@ def test_feature_store(spark, tmp_path):
     window = dt.datetime(2023, 2, 10), dt.datetime(2023, 5, 3, 7)
     assert merged(df, *window) == _plain(rows, *window)
     late = [*rows, (9999, 2, dt.datetime(2023, 3, 5), 1.0, "a", True)]
-    more = spark.createDataFrame(late, ddl)
+    more = spark.createDataFrame(late, ddl).withColumn("n", F.lit("clash"))
     assert store.refresh(more) == ["2023-03"] and merged(more) == _plain(late)
     kinds = [("a__carta", ("a", True)), ("z__altro", ("z", False))]
     wide = {r["id"]: r for r in store.feature_table(store.merged(more), kinds).collect()}
