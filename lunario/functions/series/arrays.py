@@ -26,7 +26,6 @@ PARAMETERS: dict[str, list[dict]] = {
     "permutation_entropy": [{"dimension": d, "tau": 1} for d in (3, 4, 5, 6, 7)],
     "spkt_welch_density": [{"coeff": k} for k in (2, 5, 8)],
     "cwt_coefficients": [{"coeff": c, "w": w, "widths": WIDTHS} for w in WIDTHS for c in range(15)],
-    "number_cwt_peaks": [],
     "agg_autocorrelation": [{"f_agg": f, "maxlag": 40} for f in ("mean", "median", "var")],
     "matrix_profile": [{"feature": f, "threshold": 0.98} for f in ("min", "max", "mean", "median", "25", "75")],
     "sample_entropy": [{}],
@@ -41,8 +40,9 @@ PARAMETERS: dict[str, list[dict]] = {
     "index_mass_quantile": [{"q": q} for q in (0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9)],
     "energy_ratio_by_chunks": [{"num_segments": 10, "segment_focus": k} for k in range(10)],
     "query_similarity_count": [{"query": None, "threshold": 0.0}],
+    "friedrich_coefficients": [{"coeff": k, "m": 3, "r": 30} for k in range(4)],
+    "max_langevin_fixed_point": [{"m": 3, "r": 30}],
 }
-PARAMETERS.pop("number_cwt_peaks")  # needs ridge lines of a wavelet transform; not offered
 
 
 def _line(y: np.ndarray) -> dict[str, float]:
@@ -324,6 +324,32 @@ def query_similarity_count(x, ps):
     return [0.0 if p["query"] is None else NAN for p in ps]
 
 
+def _drift(x: np.ndarray, degree: int, cells: int) -> np.ndarray | None:
+    """Polynomial of the mean step against the mean level, over cells of equally many levels; none if levels repeat at a cell's edge."""
+    level, step = x[:-1], np.diff(x)
+    if len(level) <= degree:
+        return None
+    edges = np.quantile(level, np.linspace(0, 1, cells + 1))
+    if (np.diff(edges) <= 0).any():
+        return None
+    cell = np.clip(np.searchsorted(edges, level, side="left") - 1, 0, cells - 1)
+    n = np.bincount(cell, minlength=cells)
+    full = n > 0
+    if full.sum() <= degree:
+        return None
+    return np.polyfit(np.bincount(cell, level, cells)[full] / n[full], np.bincount(cell, step, cells)[full] / n[full], degree)
+
+
+def friedrich_coefficients(x, ps):
+    c = _drift(x, ps[0]["m"], ps[0]["r"])
+    return [NAN if c is None else float(c[p["coeff"]]) for p in ps]
+
+
+def max_langevin_fixed_point(x, ps):
+    c = _drift(x, ps[0]["m"], ps[0]["r"])
+    return [NAN if c is None or not len(np.roots(c)) else float(np.roots(c).real.max())]
+
+
 def matrix_profile(x, ps):
     """Distances of each normalised window (a quarter of the series, 4 at least) to its nearest one that does not overlap it by half."""
     n = len(x)

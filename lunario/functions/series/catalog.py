@@ -15,7 +15,7 @@ TAGS = {
     "counting": "count_above count_above_mean count_below count_below_mean range_count value_count length longest_strike_above_mean longest_strike_below_mean",
     "averages": "mean median quantile root_mean_square mean_abs_change mean_change mean_second_derivative_central mean_n_absolute_max absolute_sum_of_changes index_mass_quantile",
     "basics": "sum_values absolute_maximum minimum maximum standard_deviation variance variation_coefficient skewness kurtosis abs_energy symmetry_looking large_standard_deviation variance_larger_than_standard_deviation ratio_beyond_r_sigma first_location_of_maximum last_location_of_maximum first_location_of_minimum last_location_of_minimum",
-    "trend": "linear_trend agg_linear_trend augmented_dickey_fuller longest_strike_above_mean longest_strike_below_mean",
+    "trend": "friedrich_coefficients max_langevin_fixed_point linear_trend agg_linear_trend augmented_dickey_fuller longest_strike_above_mean longest_strike_below_mean",
 }
 
 

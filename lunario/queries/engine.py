@@ -246,7 +246,7 @@ register(
 register("feat_skew_kurt", _features("skewness", "kurtosis"), _features_sql(("CASE WHEN max(n) > 2 AND max(sd) > 0 THEN avg(power((v - m) / nullif(sd, 0), 3)) * sqrt(max(n) * (max(n) - 1)) / (max(n) - 2) END", "skewness"), ("CASE WHEN max(n) > 3 AND max(sd) > 0 THEN (max(n) - 1) / ((max(n) - 2) * (max(n) - 3)) * ((max(n) + 1) * (avg(power((v - m) / nullif(sd, 0), 4)) - 3) + 6) END", "kurtosis")))
 for _name, _calculators in {
     "feat_fft": ("fft_coefficient", "fft_aggregated", "spkt_welch_density"), "feat_entropy": ("sample_entropy", "approximate_entropy", "permutation_entropy", "binned_entropy", "fourier_entropy", "lempel_ziv_complexity"),
-    "feat_ar": ("ar_coefficient", "partial_autocorrelation", "agg_autocorrelation", "augmented_dickey_fuller"), "feat_shape": ("cwt_coefficients", "matrix_profile", "change_quantiles", "agg_linear_trend", "benford_correlation", "index_mass_quantile", "energy_ratio_by_chunks", "query_similarity_count"),
+    "feat_ar": ("ar_coefficient", "partial_autocorrelation", "agg_autocorrelation", "augmented_dickey_fuller"), "feat_shape": ("cwt_coefficients", "matrix_profile", "change_quantiles", "agg_linear_trend", "benford_correlation", "index_mass_quantile", "energy_ratio_by_chunks", "query_similarity_count", "friedrich_coefficients", "max_langevin_fixed_point"),
     "feat_more": ("mean_n_absolute_max", "ratio_beyond_r_sigma", "sum_of_reoccurring_data_points", "percentage_of_reoccurring_values_to_all_values", "has_duplicate_min"),
 }.items():
     register(_name, _features(*_calculators))

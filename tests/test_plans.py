@@ -63,7 +63,7 @@ def test_samples_and_splits(spark):
 def test_catalog(spark):
     assert all(tier(n) for n in names()) and catalog(spark).count() == 7
     assert {r.feature for r in catalog(spark, feature="count_above").collect()} == {"count_above", "count_above_mean"}
-    assert catalog(spark, tag="trend").count() == 5
+    assert catalog(spark, tag="trend").count() == 7
 
 
 def test_files(spark, tmp_path):
