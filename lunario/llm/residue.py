@@ -186,6 +186,12 @@ def evidence(said: Column) -> Column:
     return _let(F.lower(said), lambda low: F.when(low.rlike(f"{some}|{TWICE}|{CODE}") | said.rlike(MARKS) | said.rlike(JSON_ERROR), kind(low)))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores, in as many as there are cores; larger ones as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def residue(documents: DataFrame, *, doc: str, text: str, host: str, least_docs: int = 50, least_share: float = 0.05) -> DataFrame:
     """One row per document with residue: its id, the kinds found (sorted) and the number of sentences with evidence.
 
@@ -200,6 +206,7 @@ def residue(documents: DataFrame, *, doc: str, text: str, host: str, least_docs:
     documents nor a line that all its pages share is gathered in one task.
     """
     rows = documents.select(F.col(doc).alias("_doc"), F.col(host).alias("_host"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    rows = _spread(rows)
     hashed = F.filter(F.array_distinct(F.transform(lines(F.col("_text")), lambda x: F.xxhash64(normal(x)))), lambda h: h != F.xxhash64(F.lit("")))
     counted = rows.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), hashed)).alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_n"))
     frequent = counted.where((F.col("_n") >= least_docs) & F.col("_h").isNotNull()).withColumnRenamed("_n", "_in")
