@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,9 +44,17 @@ def wall(time: Column) -> Column:
     return time.cast("timestamp_ntz")
 
 
+def wall_literal(time: dt.datetime) -> Column:
+    """A wall-clock constant; a datetime as such would pass through the session's zone."""
+    return F.lit(time.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def micros(time: Column) -> Column:
     """Microseconds since 1970-01-01 00:00 of a wall-clock time, whatever the session's zone."""
-    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), wall(time))
+    t = wall(time)  # field by field: a difference of times passes through the session's zone
+    seconds = F.hour(t) * 3600 + F.minute(t) * 60
+    day = F.unix_date(t.cast("date")).cast("bigint") * 86_400_000_000
+    return day + seconds.cast("bigint") * 1_000_000 + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
 
 
 def from_micros(us: Column) -> Column:

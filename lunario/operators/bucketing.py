@@ -8,13 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lunario.functions.cleaning import wall
+from lunario.functions.cleaning import from_micros, micros, wall, wall_literal
 from lunario.operators.steps import whole_positive
 from lunario.types import need_columns, need_rows, need_time
 
 #: Granularity by first letter: the unit that is counted and how many make one.
 UNITS = {"h": ("HOUR", 1), "d": ("DAY", 1), "w": ("DAY", 7), "m": ("MONTH", 1), "y": ("MONTH", 12)}
-FLOORS = {"h": "HOUR", "d": "DAY", "w": "WEEK", "m": "MONTH", "y": "YEAR"}
+#: Microseconds in a unit of fixed length, and of the first start of one after 1970-01-01 (weeks start on Monday).
+HOUR_US = 3_600_000_000
+FIXED = {"h": (HOUR_US, 0), "d": (24 * HOUR_US, 0), "w": (168 * HOUR_US, 96 * HOUR_US)}
 NAMES = {"h": ("h", "hour", "hours"), "d": ("d", "day", "days"), "w": ("w", "week", "weeks"), "m": ("m", "month", "months"), "y": ("y", "year", "years")}
 
 
@@ -33,7 +35,12 @@ class Grid:
     size: int
 
     def floor(self, time: Column) -> Column:
-        return F.date_trunc(FLOORS[self.letter], wall(time)).cast("timestamp_ntz")
+        """The start of the hour, day, week, month or year of a time. No step passes through the session's zone."""
+        if self.letter in FIXED:
+            length, first = FIXED[self.letter]
+            us = micros(time)
+            return from_micros(us - F.pmod(us - F.lit(first), F.lit(length)))
+        return F.trunc(F.to_date(wall(time)), {"m": "month", "y": "year"}[self.letter]).cast("timestamp_ntz")
 
     def add(self, start: Column, buckets: Column | int) -> Column:
         unit, n = UNITS[self.letter]
@@ -46,8 +53,9 @@ class Grid:
         if unit == "MONTH":
             months = (F.year(time) - F.year(origin)) * 12 + F.month(time) - F.month(origin)
             return F.floor(months / F.lit(n * self.size)).cast("bigint")
-        seconds = F.timestamp_diff("SECOND", origin, F.date_trunc("HOUR", wall(time)).cast("timestamp_ntz"))
-        return F.floor(seconds / F.lit((3600 if unit == "HOUR" else 86400) * n * self.size)).cast("bigint")
+        length = F.lit(FIXED[self.letter][0] * self.size)
+        past = micros(time) - micros(origin)
+        return ((past - F.pmod(past, length)) / length).cast("bigint")  # a whole number, so the division is exact enough
 
 
 @dataclass
@@ -84,8 +92,8 @@ class TimeBucketing:
     def timeline(self, df: DataFrame) -> DataFrame:
         """All buckets of the grid between the least and the greatest time, made on the executors."""
         first, last = self.extent(df)
-        o, g = F.lit(self.origin or first).cast("timestamp_ntz"), self.grid
-        n = g.number(F.lit(last).cast("timestamp_ntz"), o)
+        o, g = wall_literal(self.origin or first), self.grid
+        n = g.number(wall_literal(last), o)
         k = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0).cast("bigint"), n)).alias("k"))
         return k.select(*self._edges(g.add(o, F.col("k"))))
 
@@ -99,7 +107,7 @@ class TimeBucketing:
             raise ValueError(f"Column {self.time_col_name} is not present")
         need_time(df, [self.time_col_name])
         t = wall(F.col(self.time_col_name))
-        o = F.lit(self.origin or self.extent(df)[0]).cast("timestamp_ntz")
+        o = wall_literal(self.origin or self.extent(df)[0])
         start = self.grid.add(o, self.grid.number(t, o))
         return df.where(F.col(self.time_col_name).isNotNull()).select("*", *self._edges(start))
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lunario.functions.cleaning import cents, wall
+from lunario.functions.cleaning import cents, wall, wall_literal
 
 #: The bucket of events without a time.
 NO_TIME = "senza-data"
@@ -124,8 +124,8 @@ class FeatureStore:
         p = p.select(*columns)
         if edges:
             e = self._events(events).where(F.col("secchio").isin(sorted(edges)))
-            e = e.where(F.col("t") >= F.lit(since).cast("timestamp_ntz")) if since else e
-            e = e.where(F.col("t") < F.lit(until).cast("timestamp_ntz")) if until else e
+            e = e.where(F.col("t") >= wall_literal(since)) if since else e
+            e = e.where(F.col("t") < wall_literal(until)) if until else e
             p = p.unionByName(self._partials(e).select(*columns))
         return p.groupBy("entita", *self.types).agg(F.sum("n").alias("n"), F.max("ultimo").alias("ultimo"), F.sum("centesimi").alias("centesimi"))
 

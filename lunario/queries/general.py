@@ -34,7 +34,7 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Periods without a reading between a client's first and last period with one."""
-    return _grid(spark, d).where("stato <> 'letto'").select(CLIENT, F.date_format("inizio", "yyyy-MM-dd HH:mm:ss").alias("periodo_inizio"))
+    return _grid(spark, d).where("stato <> 'letto'").select(CLIENT, F.col("inizio").cast("string").alias("periodo_inizio"))
 
 
 def p1_grid(spark: SparkSession, d: str) -> DataFrame:

@@ -38,6 +38,22 @@ def test_buckets_contain_their_rows_and_tile_time(timed, unit, size):
     assert line[0][0] == first[unit[0]]
 
 
+def test_the_sessions_zone_does_not_matter(spark):
+    times = ["2023-03-26 01:59:59", "2023-03-26 02:00:00", "2023-03-26 02:30:00", "2023-03-26 03:10:00", "2023-10-29 02:30:00", "1969-12-30 23:30:00.5"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    seen = []
+    try:
+        for zone in ("UTC", "Europe/Rome", "America/Sao_Paulo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = [TimeBucketing("t", 1, unit)(df).selectExpr("cast(t as string) t", "cast(bucket_start as string) s", "cast(bucket_end as string) e").collect() for unit in "hdwmy"]
+            seen.append([sorted(g) for g in got])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert seen[0] == seen[1] == seen[2]
+    assert ("2023-03-26 02:30:00", "2023-03-26 02:00:00", "2023-03-26 02:59:59") in [tuple(r) for r in seen[0][0]]
+    assert ("1969-12-30 23:30:00.5", "1969-12-29 00:00:00", "1970-01-04 23:59:59") in [tuple(r) for r in seen[0][2]]
+
+
 @pytest.mark.parametrize("size", [-2, "2", 2.0, 0, True])
 def test_sizes_must_be_whole_and_positive(size):
     with pytest.raises(ValueError):
