@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lunario.llm.literals import gate
+
 # Evidence patterns, over a cleaned line (see ``clean``) in lower case unless marked otherwise.
 
 #: Characters that are not seen: soft hyphen, zero-width marks, byte order mark.
@@ -25,7 +27,6 @@ FIELDS = (
 )
 #: What a template prints for a missing value, where a name or a text should be.
 MISSING = r"\bundefined\b(?<!\b(?:is|are|was|were|be|been|remains?|left|an?|so|still|too|largely)\sundefined)|(?::|\bof|\bat|\bin|\bby|\bdi|\bde|\bvon|\bà|\ba)\s+(?:null|nan|none)\b(?=\s*(?:[.,;)]|$))"
-MISSING_WORDS = "undefined null nan none"
 
 #: A line without these is no Latin filler.
 LATIN_SIGN = r"\b(?:lorem|ipsum|amet|consectetur|adipiscing|eiusmod|incididunt|aliqua|veniam|nostrud|ullamco|laboris|nisi|irure|cillum|fugiat|pariatur|excepteur|sint|occaecat|cupidatat|proident|mollit)\b"
@@ -97,46 +98,6 @@ SCRIPTS = (
     rf"\b{_SCRIPT} (?:is |are )?(?:required|needed|necessar(?:y|io|i)|richiesto|richiesti|obligatoires?|requis|erforderlich|nötig|necesarios?|requeridos?)\b",
 )
 
-#: Marks without which a sentence holds no unfilled field.
-MARKS = r"[{$@#%]|<<|<[^/\s>]|&lt;|__|\[(?:\[|[A-ZÀ-Þ]{2,}|object)|[\[(<](?:[^\])>\n]{0,30}\b)?(?i:ins|einf|einz|einse|eintr|enter\b|place|segna|platz|to be|party|member|speaker|item|group|date|sitting|chamber|orat|data|nom|groupe|name|frakt|redner|datum|orador|fecha)"
-#: Beginnings of words, one of which every sentence with evidence of a family has.
-FILLER_WORDS = (
-    "lorem ipsum amet consectetur adipiscing eiusmod incididunt aliqua veniam nostrud ullamco laboris nisi irure cillum fugiat pariatur excepteur sint occaecat cupidatat proident mollit "
-    "placeholder sample dummy filler blindtext platzhalter mustertext testo texte texto text faux replace content copy speech inser insér scriv écri escri hier asdf jkl qwerty bla xxx prova essai prueba probe test"
-)
-ERROR_WORDS = (
-    "error errore erreur fehler http 400 401 402 403 404 405 406 407 408 409 410 411 412 413 414 415 416 417 418 421 422 423 424 425 426 428 429 431 451 500 501 502 503 504 505 506 507 508 510 511 520 521 522 523 524 525 526 "
-    "internal interner gateway unavailable unable indisponib vorübergehend upstream refused edge denied negato refusé verweigert denegado forbidden permission autoriz autoris berechtigung permiso could cannot found failed expired exist longer requires sign rebuilt moved missing gone "
-    "timed request reference administrator cause unexpected wrong trovat mostra esist scadut richied rimoss spostat riprovare codice contattare sessione_ verificato verificare raggiungibile caricat manutenzione "
-    "introuvable pas_pu_ affich nécessite requiert exige déplacée supprimée réessay numéro identifiant référence contactez session_ vérifiez expiré maintenance "
-    "gefunden gibt existiert konnte angezeigt abgelaufen verlangt erfordert verschoben gelöscht entfernt lässt ließ geantwortet erneut vorgangs anfrage referenz wenden wartung prüfen ursache erreichbar verfügbar neu_auf "
-    "encuentra encontrad mostrar cargar caducad movid eliminad vuelva inténtelo reintente código identificador referencia contacte servidor compruebe causa reconstru pudo pud respond too_many troppe_ trop_de zu_viele demasiadas "
-    "exception nullreference traceback warning notice fatal query relation fetch load syntax stack segmentation status serveur_n server_n server_h server_k no_está_disponible n'est_pas non_disponibile no_disponible page_non"
-)
-SCRIPT_WORDS = "javascript java js script skript noscript checking browser navigateur navegador comprobando leer scripting"
-
-
-def starts(words: str) -> str:
-    """A pattern for words that begin like one of these (``_`` is a blank), branching letter by letter."""
-    tree: dict = {}
-    for w in words.split():
-        node = tree
-        for letter in w.replace("_", " "):
-            node = node.setdefault(letter, {})
-        node[""] = {}
-
-    def of(node: dict) -> str:
-        if "" in node:
-            return ""
-        ways = [letter + of(rest) for letter, rest in sorted(node.items())]
-        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
-
-    return r"\b" + of(tree)
-
-
-TWICE = r"\b(\w{3,12})[\s,.…-]+\1\b"
-CODE = r"\bat \w+\.\w|\w+\.\w+\("
-
 
 def lines(text: Column) -> Column:
     """The lines of a text: parts between line breaks or markup tags."""
@@ -170,20 +131,31 @@ def _latin(low: Column) -> Column:
     return _let(words, lambda ws: _let(F.filter(ws, lambda w: F.array_contains(known, w)), lambda f: (F.size(F.array_distinct(f)) >= 3) & (F.size(f) * 10 >= F.size(ws) * 8)))
 
 
+def _either(patterns) -> str:
+    return "(?:" + ")|(?:".join(patterns) + ")"
+
+
+def may_hold(low: Column, *patterns: str) -> Column:
+    """Whether a sentence in lower case passes the gate of the patterns, as every sentence does that one of them matches.
+
+    An alternative without a literal is its own gate. None of ``FIELDS`` is, as letter case counts in these.
+    """
+    literals, bare = gate(patterns)
+    return low.rlike(_either([literals, *bare]))
+
+
 def evidence(said: Column) -> Column:
     """The kind of evidence in a sentence, or null: ``campo``, ``riempitivo``, ``errore``, ``script``."""
-    either = lambda patterns: "(?:" + ")|(?:".join(patterns) + ")"
 
     def kind(low: Column) -> Column:
         return (
-            F.when((said.rlike(MARKS) & said.rlike(either(FIELDS))) | (low.rlike(starts(MISSING_WORDS)) & low.rlike(MISSING)), "campo")
-            .when(low.rlike(f"{starts(FILLER_WORDS)}|{TWICE}") & (low.rlike(either(FILLER)) | (low.rlike(LATIN_SIGN) & _latin(low))), "riempitivo")
-            .when(said.rlike(JSON_ERROR) | (low.rlike(f"{starts(ERROR_WORDS)}|{CODE}") & low.rlike(either(ERRORS))), "errore")
-            .when(low.rlike(starts(SCRIPT_WORDS)) & low.rlike(either(SCRIPTS)), "script")
+            F.when((may_hold(low, *FIELDS) & said.rlike(_either(FIELDS))) | (may_hold(low, MISSING) & low.rlike(MISSING)), "campo")
+            .when((may_hold(low, *FILLER) & low.rlike(_either(FILLER))) | (low.rlike(LATIN_SIGN) & _latin(low)), "riempitivo")
+            .when(said.rlike(JSON_ERROR) | (may_hold(low, *ERRORS) & low.rlike(_either(ERRORS))), "errore")
+            .when(may_hold(low, *SCRIPTS) & low.rlike(_either(SCRIPTS)), "script")
         )
 
-    some = starts(" ".join([MISSING_WORDS, FILLER_WORDS, ERROR_WORDS, SCRIPT_WORDS]))
-    return _let(F.lower(said), lambda low: F.when(low.rlike(f"{some}|{TWICE}|{CODE}") | said.rlike(MARKS) | said.rlike(JSON_ERROR), kind(low)))
+    return _let(F.lower(said), lambda low: F.when(may_hold(low, *FIELDS, MISSING, *FILLER, LATIN_SIGN, *ERRORS, JSON_ERROR, *SCRIPTS), kind(low)))
 
 
 def _spread(df: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lunario.llm import mixing, percentiles
 from lunario.llm.automaton import compiled
-from lunario.llm.residue import residue
+from lunario.llm.literals import alternatives, gate
+from lunario.llm.residue import ERRORS, FIELDS, FILLER, MISSING, SCRIPTS, evidence, residue
 from lunario.llm.tokenize import decode, encode
 
 VOCABULARY = Path("/opt/tokenizers/byte_bpe_50k.json")
@@ -141,3 +143,48 @@ def test_boilerplate_of_a_host_is_taken_away(spark):
     rows = [(k, "big", f"Speech number {k} on ferries.\n{footer}") for k in range(60)] + [(100, "big", f"Error 503\n{footer}"), (200, "small", f"Speech.\n{footer}")]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
     assert {r["doc_id"] for r in residue(df, doc="doc_id", text="text", host="source").collect()} == {100, 200}
+
+
+@pytest.mark.parametrize("said", [
+    "La pagina non è disponibile.", "La pagina che cercate è stata eliminata.", "Il servizio non ha risposto.", "Il sito è in ricostruzione.", "La page demandée n'a pas été trouvée.", "El sitio está en mantenimiento.",
+    "La página requiere iniciar sesión.", "The page can't be shown.", "Die Seite wird gerade neu geladen.", "Qui comparirà il testo.", "Ici viendra l'intervention.", "Aquí irá el discurso.", "Aquí aparecerá el texto.", "Oratore: [gruppo]", "Orador: [grupo]", "By < speaker_name >.",
+])
+def test_no_gate_is_narrower_than_its_patterns(spark, said):
+    assert spark.createDataFrame([(said,)], "said string").select(evidence(F.col("said"))).first()[0]
+
+
+def _sample(rng, node) -> str:
+    """A text that a parsed pattern matches, conditions on what surrounds it aside."""
+    out = ""
+    for op, arg in node:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "NOT_LITERAL":
+                out += "x"
+            case "IN":
+                kinds = {str(o): v for o, v in arg}
+                pick = rng.choice(arg)
+                out += "x" if "NEGATE" in kinds else chr(pick[1]) if str(pick[0]) == "LITERAL" else chr(rng.randint(*pick[1])) if str(pick[0]) == "RANGE" else {"CATEGORY_SPACE": " ", "CATEGORY_NOT_WORD": "-", "CATEGORY_DIGIT": "4"}.get(str(pick[1]), "x")
+            case "BRANCH":
+                out += _sample(rng, rng.choice(arg[1]))
+            case "SUBPATTERN":
+                out += _sample(rng, arg[3])
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += "".join(_sample(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+            case "ANY":
+                out += "x"
+    return out
+
+
+def test_every_alternative_passes_its_gate(spark):
+    assert gate(FIELDS)[1] == []
+    rng, rows = random.Random(4), []
+    for family in (FIELDS, (MISSING,), FILLER, ERRORS, SCRIPTS):
+        for p in family:
+            for way in alternatives(p):
+                tree = re._parser.parse(re.sub(r"\\[1-9]", "bla", way))
+                rows += [(p, _sample(rng, tree)) for _ in range(20)]
+    df = spark.createDataFrame(rows, "p string, said string").withColumn("hit", F.when(F.col("p").isin(*FIELDS), F.expr("said rlike p")).otherwise(F.expr("lower(said) rlike p")))
+    got = df.where("hit").withColumn("kind", evidence(F.col("said"))).groupBy("p").agg(F.count("*").alias("n"), F.count("kind").alias("found"), F.first(F.when(F.col("kind").isNull(), F.col("said")), True).alias("missed")).collect()
+    assert len(got) >= 55 and [(r["p"], r["missed"]) for r in got if r["n"] != r["found"]] == []
