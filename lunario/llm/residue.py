@@ -114,6 +114,15 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"\d+", "0")))
 
 
+def plain(line: Column) -> Column:
+    """A line as it is counted with its digits, marked if it has any: two speeches may differ in a number only."""
+    return F.concat(F.when(line.rlike(r"\d"), "=").otherwise(""), F.lower(F.trim(line)))
+
+
+def _hash_of(form: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda line: F.xxhash64(form(line))
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, however often ``use`` names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -164,29 +173,49 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: What reads as a sentence: an end mark after a word.
+SENTENCE = r"[\p{L}\d]{2}[\"»”’')\]]*(?:[.!?…؟।](?:[\"»”’')\]]*(?:\s|$))|[。！？])"
+
+
+def _judged(text: Column) -> Column:
+    """The lines of a text with the hash by which each is counted, its kinds of evidence and whether it reads as speech; none if no line holds evidence."""
+
+    def judge(line: Column) -> Column:
+        kinds = F.filter(F.transform(sentences(line), evidence), lambda k: k.isNotNull())
+        return _let(kinds, lambda ks: F.struct(F.xxhash64(F.when(F.size(ks) > 0, normal(line)).otherwise(plain(line))).alias("_lh"), ks.alias("_kinds"), ((F.size(ks) == 0) & clean(line).rlike(SENTENCE)).alias("_speech")))
+
+    judged = F.transform(lines(text), judge)
+    return _let(judged, lambda a: F.when(F.exists(a, lambda x: F.size(x["_kinds"]) > 0), F.filter(a, lambda x: x["_speech"] | (F.size(x["_kinds"]) > 0))))
+
+
 def residue(documents: DataFrame, *, doc: str, text: str, host: str, least_docs: int = 50, least_share: float = 0.05) -> DataFrame:
     """One row per document with residue: its id, the kinds found (sorted) and the number of sentences with evidence.
 
-    Normalised lines are counted by host, once a document. Lines that stand in at least ``least_docs`` documents and
-    ``least_share`` of the host's documents are boilerplate of its pages (headings, menus, footers) and are taken
-    away; a document is named if one of the lines that remain holds evidence. What a speaker quotes is no evidence.
-    Null, empty and blank texts hold none. Documents of the null host form a host. Every document with residue is
-    named, repeats too; rows that share an id give one row.
+    Lines are counted by host, once a document; those with evidence without regard to digits, all others as written. Lines that stand in at least ``least_docs`` documents and
+    ``least_share`` of the host's documents recur. Beside a real speech they are boilerplate of the host's pages
+    (headings, menus, footers) and their evidence does not count. In a document without any other line that reads as
+    speech, nothing was said that they could belong to: there all evidence counts, so an error page or notice is
+    named however many copies the host holds. What a speaker quotes is no evidence. Null, empty and blank texts hold
+    none. Documents of the null host form a host. Every document with residue is named, repeats too; rows that share
+    an id give one row.
 
     Scale: only hashes of lines are shuffled, counted before the shuffle; a host has at most (lines a document) /
-    ``least_share`` boilerplate lines. Only lines with evidence meet them, so neither a host with a third of all
-    documents nor a line that all its pages share is gathered in one task.
+    ``least_share`` recurrent lines. Only the lines of documents with evidence meet them, so neither a host with a
+    third of all documents nor a line that all its pages share is gathered in one task.
     """
     rows = documents.select(F.col(doc).alias("_doc"), F.col(host).alias("_host"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     rows = _spread(rows)
-    hashed = F.filter(F.array_distinct(F.transform(lines(F.col("_text")), lambda x: F.xxhash64(normal(x)))), lambda h: h != F.xxhash64(F.lit("")))
+    hashed = _let(lines(F.col("_text")), lambda a: F.array_distinct(F.concat(*[F.transform(a, _hash_of(form)) for form in (normal, plain)])))
+    hashed = F.filter(hashed, lambda h: h != F.xxhash64(F.lit("")))
     counted = rows.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), hashed)).alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_n"))
     frequent = counted.where((F.col("_n") >= least_docs) & F.col("_h").isNotNull()).withColumnRenamed("_n", "_in")
     sizes = counted.where("_h is null").select(F.col("_host").alias("_host2"), F.col("_n").alias("_docs"))
-    boiler = frequent.join(sizes, F.col("_host").eqNullSafe(F.col("_host2"))).where(F.col("_in") >= F.col("_docs") * least_share).select("_host", "_h")
-    seen = rows.select("_doc", "_host", F.explode(lines(F.col("_text"))).alias("_line"))
-    seen = seen.select("_doc", "_host", F.xxhash64(normal(F.col("_line"))).alias("_lh"), F.explode(sentences(F.col("_line"))).alias("_said"))
-    seen = seen.select("_doc", "_host", "_lh", evidence(F.col("_said")).alias("_kind")).where(F.col("_kind").isNotNull())
-    b = boiler.withColumnRenamed("_host", "_bhost")
-    left = seen.join(b, F.col("_host").eqNullSafe(F.col("_bhost")) & (F.col("_lh") == F.col("_h")), "left_anti")
+    recurrent = frequent.join(sizes, F.col("_host").eqNullSafe(F.col("_host2"))).where(F.col("_in") >= F.col("_docs") * least_share).select(F.col("_host").alias("_bhost"), "_h")
+    seen = rows.select("_doc", "_host", F.xxhash64("_text").alias("_row"), F.explode(_judged(F.col("_text"))).alias("_line")).select("_doc", "_host", "_row", "_line.*")
+    met = seen.join(recurrent, F.col("_host").eqNullSafe(F.col("_bhost")) & (F.col("_lh") == F.col("_h")), "left")
+    own, again = F.when(F.col("_h").isNull(), F.col("_kinds")), F.when(F.col("_h").isNotNull(), F.col("_kinds"))
+    left = met.groupBy("_doc", "_host", "_row").agg(
+        F.flatten(F.collect_list(own)).alias("_own"), F.flatten(F.collect_list(again)).alias("_again"), F.bool_or(F.col("_speech") & F.col("_h").isNull()).alias("_said")
+    )
+    left = left.select("_doc", F.explode(F.when(F.col("_said"), F.col("_own")).otherwise(F.concat("_own", "_again"))).alias("_kind"))
     return left.groupBy("_doc").agg(F.array_sort(F.collect_set("_kind")).alias("tipi"), F.count("*").alias("n_frasi")).withColumnRenamed("_doc", doc)

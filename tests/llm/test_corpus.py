@@ -188,3 +188,12 @@ def test_every_alternative_passes_its_gate(spark):
     df = spark.createDataFrame(rows, "p string, said string").withColumn("hit", F.when(F.col("p").isin(*FIELDS), F.expr("said rlike p")).otherwise(F.expr("lower(said) rlike p")))
     got = df.where("hit").withColumn("kind", evidence(F.col("said"))).groupBy("p").agg(F.count("*").alias("n"), F.count("kind").alias("found"), F.first(F.when(F.col("kind").isNull(), F.col("said")), True).alias("missed")).collect()
     assert len(got) >= 55 and [(r["p"], r["missed"]) for r in got if r["n"] != r["found"]] == []
+
+
+def test_copies_of_an_error_page_count_each(spark):
+    notice, head = "Please enable JavaScript to view this transcript.", "Assembly of Norvane"
+    rows = [(k, "big", f"{head}\nError {500 + k % 4}") for k in range(60)] + [(100 + k, "big", f"{head} – Durau, {k} May\n{notice}") for k in range(60)]
+    rows += [(200 + k, "big", f"{head}\nFerry number {k} is late.\n{notice}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = {r["doc_id"]: (r["tipi"], r["n_frasi"]) for r in residue(df, doc="doc_id", text="text", host="source").collect()}
+    assert got == {k: (["errore"], 1) for k in range(60)} | {100 + k: (["script"], 1) for k in range(60)}
