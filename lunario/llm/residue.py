@@ -188,11 +188,11 @@ def _judged(text: Column) -> Column:
     return _let(judged, lambda a: F.when(F.exists(a, lambda x: F.size(x["_kinds"]) > 0), F.filter(a, lambda x: x["_speech"] | (F.size(x["_kinds"]) > 0))))
 
 
-def residue(documents: DataFrame, *, doc: str, text: str, host: str, least_docs: int = 50, least_share: float = 0.05) -> DataFrame:
+def residue(documents: DataFrame, *, doc: str, text: str, host: str, least_share: float = 0.05) -> DataFrame:
     """One row per document with residue: its id, the kinds found (sorted) and the number of sentences with evidence.
 
-    Lines are counted by host, once a document; those with evidence without regard to digits, all others as written. Lines that stand in at least ``least_docs`` documents and
-    ``least_share`` of the host's documents recur. Beside a real speech they are boilerplate of the host's pages
+    Lines are counted by host, once a document; those with evidence without regard to digits, all others as written. Lines that stand in at least
+    ``least_share`` of the host's documents recur, whatever the host's size; a line of one document alone does not. Beside a real speech they are boilerplate of the host's pages
     (headings, menus, footers) and their evidence does not count. In a document without any other line that reads as
     speech, nothing was said that they could belong to: there all evidence counts, so an error page or notice is
     named however many copies the host holds. What a speaker quotes is no evidence. Null, empty and blank texts hold
@@ -208,7 +208,7 @@ def residue(documents: DataFrame, *, doc: str, text: str, host: str, least_docs:
     hashed = _let(lines(F.col("_text")), lambda a: F.array_distinct(F.concat(*[F.transform(a, _hash_of(form)) for form in (normal, plain)])))
     hashed = F.filter(hashed, lambda h: h != F.xxhash64(F.lit("")))
     counted = rows.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), hashed)).alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_n"))
-    frequent = counted.where((F.col("_n") >= least_docs) & F.col("_h").isNotNull()).withColumnRenamed("_n", "_in")
+    frequent = counted.where((F.col("_n") > 1) & F.col("_h").isNotNull()).withColumnRenamed("_n", "_in")
     sizes = counted.where("_h is null").select(F.col("_host").alias("_host2"), F.col("_n").alias("_docs"))
     recurrent = frequent.join(sizes, F.col("_host").eqNullSafe(F.col("_host2"))).where(F.col("_in") >= F.col("_docs") * least_share).select(F.col("_host").alias("_bhost"), "_h")
     seen = rows.select("_doc", "_host", F.xxhash64("_text").alias("_row"), F.explode(_judged(F.col("_text"))).alias("_line")).select("_doc", "_host", "_row", "_line.*")

@@ -197,3 +197,10 @@ def test_copies_of_an_error_page_count_each(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
     got = {r["doc_id"]: (r["tipi"], r["n_frasi"]) for r in residue(df, doc="doc_id", text="text", host="source").collect()}
     assert got == {k: (["errore"], 1) for k in range(60)} | {100 + k: (["script"], 1) for k in range(60)}
+
+
+@pytest.mark.parametrize("size", [30, 300, 900])
+def test_share_alone_decides_at_every_size(spark, size):
+    rows = [(k, "h", f"Ferry number {k} is late." + "\nPlease enable JavaScript" * (k % 10 == 0) + f"\nError 503 at lunario.{'abcdefghij'[k // 10 % 10]}{k}x" * (k == 1)) for k in range(size)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    assert {r["doc_id"] for r in residue(df, doc="doc_id", text="text", host="source").collect()} == {1}
