@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lunario.operators import timestamps
 from lunario.operators.feature_store import FeatureStore
 from lunario.operators.grid import regular_grid
 from lunario.operators.hotkeys import heavy_keys, per_key
@@ -132,15 +133,25 @@ TEXTS = [
     ("2023-02-29T08:30:00Z", 1, "illeggibile", None), ("2023-11-08T27:10:00", 1, "illeggibile", None), ("0000-00-00 00:00:00", 1, "illeggibile", None), ("2024-06", 1, "illeggibile", None), ("12:40:05", 1, "illeggibile", None), ("ieri sera", 1, "illeggibile", None),
     ("", 1, "illeggibile", None), ("x" * 100_000, 1, "illeggibile", None), (None, 1, "nullo", None), ("2023-07-01 10:00:00", 9, "senza_zona", None), ("2023-07-01 10:00:00Z", None, "ok", _us("2023-07-01T10:00", "UTC")), ("2023-07-01 10:00:00 XYZ", 1, "illeggibile", None),
     ("2024-11-03 01:30:00", 2, "ambiguo", None), ("2024-11-03 01:30:00 EST", 2, "ok", _us("2024-11-03T01:30", NY, 1)), ("29/02/2024 23:59:59", 1, "ok", _us("2024-02-29T23:59:59", ROME)),
+    ("2023-01-06T12:10:16[Atlantis/Deep]", 1, "illeggibile", None), ("2023-01-06  12:10:16.25\t[Asia/Tokyo]", 1, "ok", _us("2023-01-06T12:10:16.25", "Asia/Tokyo")), ("\u00012023-01-06", 1, "illeggibile", None),
 ]
 
 
-def test_timestamps(spark):
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_timestamps(spark, monkeypatch):
     rows = [(k, t, c) for k, (t, c, _, _) in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "id int, testo string, canale int").withColumn("zone", F.lit("clash"))
     src = spark.createDataFrame([(1, ROME, "DMY"), (2, NY, "MDY")], "canale int, fuso string, ordine string")
     got = {r["id"]: (r["esito"], r["istante_us"]) for r in normalise(df, ["testo"], src, row="id", source="canale", zone="fuso", order="ordine").collect()}
     assert {TEXTS[k][0] if k else TEXTS[0][0]: v for k, v in got.items() if v != TEXTS[k][2:]} == {}
+    few = normalise(df, ["testo"], src, row="id", source="canale", zone="fuso", order="ordine")
+    assert "BroadcastHashJoin" in _plan(few) and "hashpartitioning(_src" not in _plan(few) and "SortMergeJoin" not in _plan(few)
+    monkeypatch.setattr(timestamps, "MOST_SOURCES", 1)  # more sources than are sent: the salted join gives the same
+    many = normalise(df, ["testo"], src, row="id", source="canale", zone="fuso", order="ordine")
+    assert many.exceptAll(few).count() == 0 and few.exceptAll(many).count() == 0
     assert normalise(df.where("false"), ["testo"], src, row="id", source="canale", zone="fuso", order="ordine").count() == 0
 
 
