@@ -84,33 +84,12 @@ def needed(pattern: str) -> set[str] | None:
     return _of(re._parser.parse(re.sub(r"\\[1-9]", r"\\w*", pattern)))[1]
 
 
-def tree(words: set[str]) -> str:
-    """A pattern for any of these texts, branching letter by letter."""
-    top: dict = {}
-    for w in words:
-        node = top
-        for letter in w:
-            node = node.setdefault(letter, {})
-        node[""] = {}
-
-    def of(node: dict) -> str:
-        if "" in node:
-            return ""
-        ways = [re.escape(letter) + of(rest) for letter, rest in sorted(node.items())]
-        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
-
-    return of(top)
-
-
-def gate(patterns, least: int = 3) -> tuple[str, list[str]]:
-    """The literals of the patterns' alternatives as one pattern over text in lower case, and the alternatives that have none of that worth."""
-    literals, bare = set(), []
+def by_literal(patterns, least: int = 2) -> list[tuple[str, set[str]]]:
+    """Every alternative of the patterns with the literals one of which its matches contain; none if none is worth it."""
+    out = []
     for p in patterns:
         # Numbered groups count over the whole pattern, so a pattern with references stays whole.
         for way in [p] if re.search(r"\\[1-9]", p) else alternatives(p):
             need = needed(way)
-            if _worth(need)[0] >= least:
-                literals |= need
-            else:
-                bare.append(way)
-    return tree(literals), bare
+            out.append((way, need if _worth(need)[0] >= least else set()))
+    return out

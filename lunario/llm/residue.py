@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+import functools
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+import regex
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lunario.llm.literals import gate
+from lunario.llm.literals import by_literal
+from lunario.session import shared_path
 
 # Evidence patterns, over a cleaned line (see ``clean``) in lower case unless marked otherwise.
 
@@ -46,7 +54,7 @@ FILLER = (
     _START + r"(?:inserire|inserisci|scrivere) qui\b|" + _START + r"(?:ins[ée]re[rz]|écri(?:re|vez)) ici\b|" + _START + r"(?:votre|le) texte (?:vient |va |viendra )?ici\b|" + _START + r"(?:il tuo |il vostro |il )?testo (?:va |andrà )?qui\b",
     _START + r"(?:inserte|insertar|escriba|escribir) aquí\b|" + _START + r"(?:su |el )?(?:texto|contenido) (?:va |irá )?aquí\b|" + _START + r"hier (?:steht|kommt|folgt|erscheint) (?:später )?(?:die|der|ihr|ihre) (?:rede|text|inhalt)\b|" + _START + r"(?:ihr |hier )?(?:text|inhalt) (?:hier|hier einfügen|einfügen)\b",
     _START + r"(?:qui|ici|aquí|here) (?:(?:più tardi|plus tard|más tarde|later) )?(?:comparirà|andrà|figurera|viendra|irá|aparecerá|will be|goes|comes) (?:\w+ )?(?:il testo|l'intervento|le texte|l'intervention|el texto|el discurso|la intervención|the text|the speech)\b",
-    _START + r"(\w{3,12})(?:[\s,.…-]{1,3}\1\b){3}", r"\b(test|prova|essai|prueba|probe|testo|texte|texto|text|asdf|jkl|qwerty|bla|blah|xxx+)(?:[\s,.]{1,3}\2\b){2}", r"\basdf(?:asdf|ghjk)|\basdf asdf\b|\bqwertyuiop\b",
+    _START + r"(\w{3,12})(?:[\s,.…-]{1,3}\1\b){3}", r"\b(test|prova|essai|prueba|probe|testo|texte|texto|text|asdf|jkl|qwerty|bla|blah|xxx+)(?:[\s,.]{1,3}\1\b){2}", r"\basdf(?:asdf|ghjk)|\basdf asdf\b|\bqwertyuiop\b",
 )
 
 _THING_EN = r"(?:page|record|transcript|document|file|resource|url|address|link|item|report|content|debate|sitting|speech|entry|archive|service|site|server|session)"
@@ -99,93 +107,139 @@ SCRIPTS = (
 )
 
 
-def lines(text: Column) -> Column:
-    """The lines of a text: parts between line breaks or markup tags."""
-    return F.split(F.regexp_replace(text, r"</?(?:html|head|title|body|h\d|p|div|span|br|a|ul|li|noscript|center|hr)\b[^>]*>", "\n"), r"[\r\n\u0085\u2028\u2029]+")
-
-
-def clean(line: Column) -> Column:
-    """A line without unseen characters, its blanks single."""
-    return F.trim(F.regexp_replace(F.translate(line, UNSEEN, ""), r"[\s\u00a0\u2000-\u200a\u202f\u3000]+", " "))
-
-
-def normal(line: Column) -> Column:
-    """A line as it is counted: in lower case, runs of digits as one 0, without outer blanks."""
-    return F.lower(F.trim(F.regexp_replace(line, r"\d+", "0")))
-
-
-def plain(line: Column) -> Column:
-    """A line as it is counted with its digits, marked if it has any: two speeches may differ in a number only."""
-    return F.concat(F.when(line.rlike(r"\d"), "=").otherwise(""), F.lower(F.trim(line)))
-
-
-def _hash_of(form: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda line: F.xxhash64(form(line))
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def sentences(line: Column) -> Column:
-    """The sentences of a cleaned line without what is quoted in it; a record of a service keeps its quotes."""
-    c = clean(line)
-    return F.split(F.when(c.rlike(JSON_ERROR), c).otherwise(F.regexp_replace(c, QUOTED, " ")), r"(?<=[.!?…])\s+")
-
-
-def _latin(low: Column) -> Column:
-    known = F.array(*[F.lit(x) for x in LATIN.split()])
-    words = F.filter(F.split(F.regexp_replace(low, r"[^a-zà-ÿ]+", " "), " "), lambda w: w != "")
-    return _let(words, lambda ws: _let(F.filter(ws, lambda w: F.array_contains(known, w)), lambda f: (F.size(F.array_distinct(f)) >= 3) & (F.size(f) * 10 >= F.size(ws) * 8)))
-
-
-def _either(patterns) -> str:
-    return "(?:" + ")|(?:".join(patterns) + ")"
-
-
-def may_hold(low: Column, *patterns: str) -> Column:
-    """Whether a sentence in lower case passes the gate of the patterns, as every sentence does that one of them matches.
-
-    An alternative without a literal is its own gate. None of ``FIELDS`` is, as letter case counts in these.
-    """
-    literals, bare = gate(patterns)
-    return low.rlike(_either([literals, *bare]))
-
-
-def evidence(said: Column) -> Column:
-    """The kind of evidence in a sentence, or null: ``campo``, ``riempitivo``, ``errore``, ``script``."""
-
-    def kind(low: Column) -> Column:
-        return (
-            F.when((may_hold(low, *FIELDS) & said.rlike(_either(FIELDS))) | (may_hold(low, MISSING) & low.rlike(MISSING)), "campo")
-            .when((may_hold(low, *FILLER) & low.rlike(_either(FILLER))) | (low.rlike(LATIN_SIGN) & _latin(low)), "riempitivo")
-            .when(said.rlike(JSON_ERROR) | (may_hold(low, *ERRORS) & low.rlike(_either(ERRORS))), "errore")
-            .when(may_hold(low, *SCRIPTS) & low.rlike(_either(SCRIPTS)), "script")
-        )
-
-    return _let(F.lower(said), lambda low: F.when(may_hold(low, *FIELDS, MISSING, *FILLER, LATIN_SIGN, *ERRORS, JSON_ERROR, *SCRIPTS), kind(low)))
-
-
-def _spread(df: DataFrame) -> DataFrame:
-    """A table that is read in fewer parts than there are cores, in as many as there are cores; larger ones as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 #: What reads as a sentence: an end mark after a word.
 SENTENCE = r"[\p{L}\d]{2}[\"»”’')\]]*(?:[.!?…؟।](?:[\"»”’')\]]*(?:\s|$))|[。！？])"
+#: Where a line ends, beside markup tags; where a sentence does.
+_TAG = re.compile(r"</?(?:html|head|title|body|h\d|p|div|span|br|a|ul|li|noscript|center|hr)\b[^>]*>")
+_BREAK = re.compile(r"[\r\n\u0085\u2028\u2029]+")
+_STOP = re.compile(r"(?<=[.!?…])\s+")
+_DIGITS = re.compile(r"\d+")
+_UNSEEN = re.compile(f"[{UNSEEN}]")
+#: A word and, after it, one that begins alike: what a pattern of repeated words is tried on.
+_ALIKE = (re.compile(r"\W*(\w{3})\w*[\s,.…-]{1,3}\1").match, re.compile(r"[.!?…:;|>–-]\s*\W*(\w{3})\w*[\s,.…-]{1,3}\1").search)
+
+KINDS = ("campo", "riempitivo", "errore", "script")
 
 
-def _judged(text: Column) -> Column:
-    """The lines of a text with the hash by which each is counted, its kinds of evidence and whether it reads as speech; none if no line holds evidence."""
+class Judge:
+    """All patterns, each tried only on sentences that hold one of the literals that every match of it contains.
 
-    def judge(line: Column) -> Column:
-        kinds = F.filter(F.transform(sentences(line), evidence), lambda k: k.isNotNull())
-        return _let(kinds, lambda ks: F.struct(F.xxhash64(F.when(F.size(ks) > 0, normal(line)).otherwise(plain(line))).alias("_lh"), ks.alias("_kinds"), ((F.size(ks) == 0) & clean(line).rlike(SENTENCE)).alias("_speech")))
+    The literals are derived from the patterns (:mod:`lunario.llm.literals`) and found in one run of an automaton over
+    a line, so the cost of a line without any does not depend on the number of patterns.
+    """
 
-    judged = F.transform(lines(text), judge)
-    return _let(judged, lambda a: F.when(F.exists(a, lambda x: F.size(x["_kinds"]) > 0), F.filter(a, lambda x: x["_speech"] | (F.size(x["_kinds"]) > 0))))
+    def __init__(self) -> None:
+        latin = frozenset(LATIN.split())
+        self.tests: list[tuple[int, bool, object]] = []  # kind, in lower case, test
+        found: dict[str, set[int]] = {}
+        self.always: set[int] = set()
+        families = [(0, False, FIELDS), (0, True, (MISSING,)), (1, True, FILLER), (1, True, (LATIN_SIGN,)), (2, False, (JSON_ERROR,)), (2, True, ERRORS), (3, True, SCRIPTS)]
+        for kind, low, patterns in families:
+            for way, literals in by_literal(patterns):
+                test = self._latin(latin) if LATIN_SIGN in patterns else _compiled(way)
+                self.tests.append((kind, low, test))
+                for x in literals:
+                    found.setdefault(x, set()).add(len(self.tests) - 1)
+                if not literals:
+                    self.always.add(len(self.tests) - 1)
+        self.automaton = ahocorasick.Automaton()
+        for x, tests in found.items():
+            self.automaton.add_word(x, tests)
+        self.automaton.make_automaton()
+        self.json, self.quoted, self.speech = re.compile(JSON_ERROR).search, re.compile(QUOTED), regex.compile(SENTENCE).search
+
+    @staticmethod
+    def _latin(known: frozenset[str]):
+        def test(low: str) -> bool:
+            words = re.findall(r"[a-zà-ÿ]+", low)
+            own = [w for w in words if w in known]
+            return len(set(own)) >= 3 and len(own) * 10 >= len(words) * 8
+
+        return test
+
+    def clean(self, line: str) -> str:
+        """A line without unseen characters, its blanks single."""
+        return " ".join((_UNSEEN.sub("", line) if not line.isascii() else line).split())
+
+    def kinds(self, line: str) -> list[str]:
+        """The kind of evidence of each sentence of a cleaned line that has any; what is quoted has none."""
+        said = self.quoted.sub(" ", line) if any(q in line for q in '"«„“') and not self.json(line) else line
+        low = said.lower()
+        if len(low) != len(said):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in said)
+        hits = list(self.automaton.iter(low))
+        alike = _ALIKE[0](low) or _ALIKE[1](low)
+        if not hits and not alike:
+            return []
+        stops = [m.span() for m in _STOP.finditer(low)]
+        begins = [0, *(b for _, b in stops)]
+        ends = [*(a for a, _ in stops), len(low)]
+        tried: dict[int, set[int]] = {}
+        for at, tests in hits:
+            k = bisect_right(begins, at) - 1
+            tried.setdefault(k, set()).update(tests)
+        if alike:
+            for k in range(len(begins)):
+                tried.setdefault(k, set()).update(self.always)
+        out = []
+        for k in sorted(tried):
+            sentence, lower = said[begins[k] : ends[k]], low[begins[k] : ends[k]]
+            for kind, test in sorted((self.tests[t][0], t) for t in tried[k]):
+                if self.tests[test][2](lower if self.tests[test][1] else sentence):
+                    out.append(KINDS[kind])
+                    break
+        return out
+
+    def lines(self, text: str) -> list[tuple[int, list[str], str]]:
+        """(hash by which a line is counted, kinds of its evidence, the line) of each line that is not blank.
+
+        Lines with evidence are counted in lower case with runs of digits as one 0; all others as written, in lower
+        case, as two speeches may differ in a number only.
+        """
+        out = []
+        for raw in _BREAK.split(_TAG.sub("\n", text) if "<" in text else text):
+            line = self.clean(raw)
+            if line:
+                kinds = self.kinds(line)
+                form = _DIGITS.sub("0", line.lower()) if kinds else line.lower()
+                out.append((xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass"), 1 if kinds else 0) - 2**63, kinds, line))
+        return out
+
+
+def _compiled(pattern: str):
+    try:
+        return re.compile(pattern).search
+    except re.error:  # a condition on what stands before, of no fixed length
+        return regex.compile(pattern).search
+
+
+@functools.cache
+def judge() -> Judge:
+    """The patterns, compiled once in a process."""
+    return Judge()
+
+
+def evidence(sentence: str) -> str | None:
+    """The kind of evidence in a sentence, or none: ``campo``, ``riempitivo``, ``errore``, ``script``."""
+    j = judge()
+    return next(iter(j.kinds(j.clean(sentence))), None)
+
+
+LINES = pa.list_(pa.struct([("h", pa.int64()), ("kinds", pa.list_(pa.string())), ("speech", pa.bool_())]))
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, host, text) -> (doc, host, hash of the text, hashes of its lines, its lines if any holds evidence)."""
+    j = judge()
+    for b in batches:
+        rows, hashes, lines = [], [], []
+        for text in b.column(2).to_pylist():
+            found = j.lines(text)
+            rows.append(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63)
+            hashes.append(list({h for h, _, _ in found}))
+            held = any(kinds for _, kinds, _ in found)
+            lines.append([{"h": h, "kinds": kinds, "speech": not kinds and j.speech(line) is not None} for h, kinds, line in found] if held else None)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(lines, LINES)], ["_doc", "_host", "_row", "_hashes", "_lines"])
 
 
 def residue(documents: DataFrame, *, doc: str, text: str, host: str, least_share: float = 0.05) -> DataFrame:
@@ -199,23 +253,25 @@ def residue(documents: DataFrame, *, doc: str, text: str, host: str, least_share
     none. Documents of the null host form a host. Every document with residue is named, repeats too; rows that share
     an id give one row.
 
-    Scale: only hashes of lines are shuffled, counted before the shuffle; a host has at most (lines a document) /
+    Scale: the texts are read once, row by row; hashes of lines, and the marks of those of documents with evidence,
+    are written to the shared folder and counted there, before the shuffle. A host has at most (lines a document) /
     ``least_share`` recurrent lines. Only the lines of documents with evidence meet them, so neither a host with a
     third of all documents nor a line that all its pages share is gathered in one task.
     """
+    spark = documents.sparkSession
     rows = documents.select(F.col(doc).alias("_doc"), F.col(host).alias("_host"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    rows = _spread(rows)
-    hashed = _let(lines(F.col("_text")), lambda a: F.array_distinct(F.concat(*[F.transform(a, _hash_of(form)) for form in (normal, plain)])))
-    hashed = F.filter(hashed, lambda h: h != F.xxhash64(F.lit("")))
-    counted = rows.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), hashed)).alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_n"))
-    frequent = counted.where((F.col("_n") > 1) & F.col("_h").isNotNull()).withColumnRenamed("_n", "_in")
-    sizes = counted.where("_h is null").select(F.col("_host").alias("_host2"), F.col("_n").alias("_docs"))
-    recurrent = frequent.join(sizes, F.col("_host").eqNullSafe(F.col("_host2"))).where(F.col("_in") >= F.col("_docs") * least_share).select(F.col("_host").alias("_bhost"), "_h")
-    seen = rows.select("_doc", "_host", F.xxhash64("_text").alias("_row"), F.explode(_judged(F.col("_text"))).alias("_line")).select("_doc", "_host", "_row", "_line.*")
-    met = seen.join(recurrent, F.col("_host").eqNullSafe(F.col("_bhost")) & (F.col("_lh") == F.col("_h")), "left")
-    own, again = F.when(F.col("_h").isNull(), F.col("_kinds")), F.when(F.col("_h").isNotNull(), F.col("_kinds"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
+    judged = rows.mapInArrow(_judged, f"{kinds}, _row bigint, _hashes array<bigint>, _lines array<struct<h:bigint,kinds:array<string>,speech:boolean>>")
+    judged.write.parquet(kept := shared_path(spark, "p9-righe"))
+    judged = spark.read.parquet(kept)
+    counted = judged.select("_host", F.explode("_hashes").alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_in")).where("_in > 1")
+    sizes = judged.groupBy(F.col("_host").alias("_host2")).agg(F.count("*").alias("_docs"))
+    recurrent = counted.join(sizes, F.col("_host").eqNullSafe(F.col("_host2"))).where(F.col("_in") >= F.col("_docs") * least_share).select(F.col("_host").alias("_bhost"), "_h")
+    seen = judged.where("_lines is not null").select("_doc", "_host", "_row", F.inline("_lines"))
+    met = seen.join(recurrent, F.col("_host").eqNullSafe(F.col("_bhost")) & (F.col("h") == F.col("_h")), "left")
+    own, again = F.when(F.col("_h").isNull(), F.col("kinds")), F.when(F.col("_h").isNotNull(), F.col("kinds"))
     left = met.groupBy("_doc", "_host", "_row").agg(
-        F.flatten(F.collect_list(own)).alias("_own"), F.flatten(F.collect_list(again)).alias("_again"), F.bool_or(F.col("_speech") & F.col("_h").isNull()).alias("_said")
+        F.flatten(F.collect_list(own)).alias("_own"), F.flatten(F.collect_list(again)).alias("_again"), F.bool_or(F.col("speech") & F.col("_h").isNull()).alias("_said")
     )
     left = left.select("_doc", F.explode(F.when(F.col("_said"), F.col("_own")).otherwise(F.concat("_own", "_again"))).alias("_kind"))
     return left.groupBy("_doc").agg(F.array_sort(F.collect_set("_kind")).alias("tipi"), F.count("*").alias("n_frasi")).withColumnRenamed("_doc", doc)

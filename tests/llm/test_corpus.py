@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lunario.llm import mixing, percentiles
 from lunario.llm.automaton import compiled
-from lunario.llm.literals import alternatives, gate
-from lunario.llm.residue import ERRORS, FIELDS, FILLER, MISSING, SCRIPTS, evidence, residue
+from lunario.llm.literals import alternatives
+from lunario.llm.residue import ERRORS, FIELDS, FILLER, MISSING, SCRIPTS, evidence, judge, residue
 from lunario.llm.tokenize import decode, encode
 
 VOCABULARY = Path("/opt/tokenizers/byte_bpe_50k.json")
@@ -149,8 +149,8 @@ def test_boilerplate_of_a_host_is_taken_away(spark):
     "La pagina non è disponibile.", "La pagina che cercate è stata eliminata.", "Il servizio non ha risposto.", "Il sito è in ricostruzione.", "La page demandée n'a pas été trouvée.", "El sitio está en mantenimiento.",
     "La página requiere iniciar sesión.", "The page can't be shown.", "Die Seite wird gerade neu geladen.", "Qui comparirà il testo.", "Ici viendra l'intervention.", "Aquí irá el discurso.", "Aquí aparecerá el texto.", "Oratore: [gruppo]", "Orador: [grupo]", "By < speaker_name >.",
 ])
-def test_no_gate_is_narrower_than_its_patterns(spark, said):
-    assert spark.createDataFrame([(said,)], "said string").select(evidence(F.col("said"))).first()[0]
+def test_no_gate_is_narrower_than_its_patterns(said):
+    assert evidence(said)
 
 
 def _sample(rng, node) -> str:
@@ -177,17 +177,39 @@ def _sample(rng, node) -> str:
     return out
 
 
-def test_every_alternative_passes_its_gate(spark):
-    assert gate(FIELDS)[1] == []
-    rng, rows = random.Random(4), []
-    for family in (FIELDS, (MISSING,), FILLER, ERRORS, SCRIPTS):
-        for p in family:
-            for way in alternatives(p):
-                tree = re._parser.parse(re.sub(r"\\[1-9]", "bla", way))
-                rows += [(p, _sample(rng, tree)) for _ in range(20)]
-    df = spark.createDataFrame(rows, "p string, said string").withColumn("hit", F.when(F.col("p").isin(*FIELDS), F.expr("said rlike p")).otherwise(F.expr("lower(said) rlike p")))
-    got = df.where("hit").withColumn("kind", evidence(F.col("said"))).groupBy("p").agg(F.count("*").alias("n"), F.count("kind").alias("found"), F.first(F.when(F.col("kind").isNull(), F.col("said")), True).alias("missed")).collect()
-    assert len(got) >= 55 and [(r["p"], r["missed"]) for r in got if r["n"] != r["found"]] == []
+def test_every_alternative_passes_its_gate():
+    rng, j, matched, missed = random.Random(4), judge(), Counter(), []
+    for kind, low, test in j.tests:
+        pattern = getattr(test, "__self__", None)
+        if pattern is None:
+            continue
+        for _ in range(30):
+            said = j.clean(_sample(rng, re._parser.parse(pattern.pattern if "(?<" not in pattern.pattern else re.sub(r"\(\?<[=!](?:[^()]|\([^()]*\))*\)", "", pattern.pattern))))
+            if test(said.lower() if low else said) and not re.search(r"[.!?…]\s|[\"«„“]", said):
+                matched[pattern.pattern] += 1
+                if not j.kinds(said):
+                    missed.append((pattern.pattern, said))
+    assert len(matched) >= 55 and missed == []
+
+
+def test_copies_of_one_error_page_on_a_large_host(spark):
+    rows = [(k, "h", "404 Not Found" if k < 100 else f"Speech {k}: the ferry to Durau is late again.") for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    assert {r["doc_id"] for r in residue(df, doc="doc_id", text="text", host="source").collect()} == set(range(100))
+
+
+# Wording that was written without a look at the patterns; which part of it is found is the recall stated in the README.
+HELD_OUT = [
+    "We could not load this debate. Please refresh.", "Oh dear, this sitting has gone missing from our server.", "HTTP 502 from the backend", "This link seems to be broken.", "The requested report was removed by its owner.", "Database connection lost; retry later.", "Your browser does not support scripting, so the transcript stays blank.",
+    "Turn JavaScript on to read the speech.", "Text to be supplied by the clerk", "TODO: paste speech here", "Dear {first_name}, thank you", "Speaker: ${speaker}", "[[ PARTY ]] asked for the floor", "{{#if speaker}}", "The member for NULL rose", "Value: undefined", "xxxx xxxx xxxx xxxx", "Sed ut perspiciatis unde omnis iste natus error sit voluptatem",
+    "Siamo spiacenti, questa pagina non è più disponibile.", "Errore di connessione al database.", "Attiva JavaScript per leggere il resoconto.", "Testo di esempio da sostituire.", "Cette page n'est plus en ligne.", "Erreur 500 : le serveur a rencontré un problème.", "Activez JavaScript pour continuer.", "Texte à venir.", "Diese Seite ist zurzeit nicht erreichbar.", "Fehler beim Laden des Dokuments.",
+    "Bitte aktivieren Sie JavaScript.", "Hier Text einfügen", "Esta página ya no existe.", "Error al cargar el documento.", "Habilite JavaScript para ver la sesión.", "Texto pendiente de redactar.", "Loading… please wait", "Access to this page has been denied.", "Are you a robot? Verify to continue.", "Page expired, reload it.", "<%= speech.body %>", "%%SPEECH_TEXT%%",
+]
+
+
+def test_recall_on_wording_that_is_not_listed():
+    found = [t for t in HELD_OUT if evidence(t)]
+    assert len(found) >= 14
 
 
 def test_copies_of_an_error_page_count_each(spark):
