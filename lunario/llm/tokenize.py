@@ -42,15 +42,16 @@ def encode(df: DataFrame, text: str, path: str, ids: str = "ids", keep: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = compiled(words.value)
         for b in batches:
-            texts, begin, flat, ends = b.column(b.num_columns - 1), 0, [], []
-            for k in range(b.num_rows):
-                flat.extend(automaton.encode(texts[k].as_py()))
-                ends.append(len(flat))
-                if len(flat) >= BATCH_TOKENS or k == b.num_rows - 1:
-                    lists = pa.ListArray.from_arrays(np.array([0, *ends], np.int32), pa.array(np.array(flat, np.int32)))
+            begin, size, found = 0, 0, []
+            for k, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                found.append(automaton.encode_bytes(text))
+                size += len(found[-1])
+                if size >= 4 * BATCH_TOKENS or k == b.num_rows - 1:
+                    ends = np.cumsum([0, *map(len, found)]) // 4
+                    lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(np.frombuffer(b"".join(found), np.int32)))
                     part = b.slice(begin, k + 1 - begin)
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*kept, ids])
-                    begin, flat, ends = k + 1, [], []
+                    begin, size, found = k + 1, 0, []
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), f"`{ids}` array<int>"])
     return source.mapInArrow(run, schema)

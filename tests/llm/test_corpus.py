@@ -226,3 +226,28 @@ def test_share_alone_decides_at_every_size(spark, size):
     rows = [(k, "h", f"Ferry number {k} is late." + "\nPlease enable JavaScript" * (k % 10 == 0) + f"\nError 503 at lunario.{'abcdefghij'[k // 10 % 10]}{k}x" * (k == 1)) for k in range(size)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
     assert {r["doc_id"] for r in residue(df, doc="doc_id", text="text", host="source").collect()} == {1}
+
+
+@needs_vocabulary
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Ferry", " ", "  ", "\n", "\n\n", " ", "\t", "'s", ",", "7", "é", "会"]), max_size=30).map("".join))
+def test_runs_of_white_space_are_split_as_the_library_splits_them(automaton, reference, text):
+    assert automaton.encode(text) == reference.encode(text, add_special_tokens=False).ids
+
+
+@needs_vocabulary
+def test_the_table_accepts_what_the_merges_write_and_nothing_else(automaton, reference):
+    rng, ids = random.Random(3), sorted(t for t in automaton.labels if automaton.labels[t].isalpha())
+    for _ in range(3000):
+        a, b = rng.choice(ids), rng.choice(ids)
+        text = (automaton.labels[a] + automaton.labels[b]).decode()
+        assert automaton.arc(a, b) == (reference.encode(text, add_special_tokens=False).ids == [a, b])
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_kinds_of_vocabulary_are_refused(name):
+    path = VOCABULARY.with_name(name)
+    if not path.exists():
+        pytest.skip("no vocabulary here")
+    with pytest.raises(ValueError):
+        compiled(path.read_bytes())
