@@ -79,19 +79,34 @@ def test_permutations(size, key):
     assert sorted(image.tolist()) == list(range(size))
 
 
-def test_draws_meet_the_targets():
+def test_draws_meet_the_targets(spark):
     have, goals = {"a": 1000, "b": 30, "c": 7}, [("a", 0.5, 1), ("b", 0.3, 20), ("c", 0.1, 100), ("none", 0.1, 3)]
-    drawn = mixing.draw(have, goals, mixing.Plan(per_shard=16))
-    count, next_ = Counter(), Counter()
-    for _, s, n, first in drawn.shards:
-        assert first == next_[s]
-        next_[s] += n
-        count[s] += n
+    known, plan = mixing.usable(have, goals), mixing.Plan(per_shard=16, group=4)
+    count, next_, size = Counter(), Counter(), Counter()
+    for r in sorted(mixing.draw(spark, known, plan).collect()):
+        s = known.names[r["k"]]
+        assert r["first"] == next_[s] and r["have"] == have[s]
+        next_[s] += r["n"]
+        count[s] += r["n"]
+        size[r["shard"]] += r["n"]
     total = sum(count.values())
-    assert total > 1000 and "none" not in count
+    assert total > 1000 and "none" not in count and set(size.values()) == {16} and sorted(size) == list(range(len(size)))
     for s, share, repeats in goals[:3]:
-        assert abs(count[s] / total - share / 0.9) < 2 / total and count[s] <= have[s] * repeats
-    assert mixing.draw({}, goals, mixing.Plan()).shards == []
+        assert abs(count[s] / total - share / 0.9) < 0.01 and count[s] <= have[s] * repeats
+    assert total + 2 * 16 > min(have[s] * r / (share / 0.9) for s, share, r in goals[:3])  # no more fits
+    again = mixing.draw(spark, known, mixing.Plan(per_shard=16, group=1000))
+    assert sorted(again.collect()) == sorted(mixing.draw(spark, known, plan).collect())  # groups change nothing
+    long = Counter()
+    for r in mixing.draw(spark, known, plan, total=8000, short=True).collect():
+        long[known.names[r["k"]]] += r["n"]
+    assert long["a"] == 1000 and long["b"] == 600 and long["c"] == 700
+    assert mixing.draw(spark, mixing.usable({}, goals), plan).count() == 0
+
+
+def test_counts_of_shards_are_those_of_the_shares():
+    shares = np.array([0.37, 0.003, 0.5, 0.127])
+    counts = mixing.shard_counts(np.arange(4000), shares, mixing.Plan())
+    assert (counts.sum(axis=1) == 64).all() and (abs(counts.mean(axis=0) - shares * 64) < 0.05).all()
 
 
 @needs_vocabulary
