@@ -36,7 +36,10 @@ def number_or_null(value: Column) -> Column:
 
 def cents(value: Column) -> Column:
     """An amount as a whole number of cents, so that sums are exact and independent of order. NaN gives null."""
-    return F.round(number_or_null(value) * 100).cast("bigint")
+    v = number_or_null(value) * 100
+    whole = F.floor(F.abs(v))  # halves away from 0, as ``round`` has it, without its decimals
+    up = whole + F.when(F.abs(v) - whole >= 0.5, 1).otherwise(0)
+    return F.when(v < 0, -up).otherwise(F.when(v.isNotNull(), up)).cast("bigint")
 
 
 def wall(time: Column) -> Column:

@@ -13,7 +13,7 @@ from lunario.operators.grid import regular_grid
 from lunario.operators.hotkeys import heavy_keys, per_key
 from lunario.operators.rolling import rolling_totals
 from lunario.operators.timestamps import normalise
-from lunario.session import shared_path
+from lunario.session import shared_path, stable_path
 from lunario.sources.tables import table
 
 CLIENT, TIME, AMOUNT = "ID_BIC_CLIENTE", "DATA_TRANSAZIONE", "IMPORTO"
@@ -54,25 +54,48 @@ def p3_per_key(spark: SparkSession, d: str) -> DataFrame:
     return per_key(table(spark, d, "client_transactions"), CLIENT, AMOUNT, per_thousand=(500, 900))
 
 
-def _store(spark: SparkSession, d: str) -> tuple[FeatureStore, DataFrame, list]:
+# The canonical categories as their names are made, first part and second parts ("" for none).
+CATEGORIES = {
+    "abbonamenti": "annuale base estero mensile online premium urgenze", "alimentari": "accessori annuale mensile premium servizi",
+    "animali": "accessori annuale base mensile premium servizi", "assicurazioni": "accessori annuale estero mensile online premium urgenze",
+    "auto": "accessori annuale base mensile online premium servizi", "bellezza": "base estero mensile online servizi urgenze",
+    "casa": "accessori annuale base mensile online premium servizi urgenze", "contanti": "accessori annuale mensile premium servizi urgenze",
+    "cultura": "accessori base estero online servizi", "donazioni": "accessori annuale estero mensile online premium servizi urgenze",
+    "famiglia": "accessori annuale mensile premium urgenze", "imposte": "accessori annuale base estero mensile premium servizi urgenze",
+    "investimenti": "annuale estero mensile premium urgenze", "istruzione": "base estero online servizi urgenze",
+    "professionisti": "accessori annuale base estero online premium servizi urgenze", "ristoranti": "accessori annuale base online premium servizi",
+    "salute": "annuale estero mensile online premium urgenze", "shopping": "base estero mensile online urgenze",
+    "sport": "accessori base estero mensile online premium servizi urgenze", "tecnologia": "accessori annuale base estero online premium servizi",
+    "tempo_libero": "accessori base estero online premium servizi urgenze", "trasporti": "accessori annuale estero mensile premium servizi urgenze",
+    "utenze": "annuale base estero mensile online urgenze", "viaggi": "accessori annuale base estero mensile online servizi urgenze",
+}
+KINDS = [(f"{c}__{'carta' if b else 'altro'}", (c, b)) for c in sorted(f"{a}_{x}".rstrip("_") for a, xs in CATEGORIES.items() for x in ["", *xs.split()]) for b in (True, False)]
+
+
+def _store(spark: SparkSession, d: str, path: str) -> tuple[FeatureStore, DataFrame]:
     events = table(spark, d, "client_transactions", "ID_TRANSAZIONE", CLIENT, TIME, AMOUNT, "CA_CATEGORY_LIV0", "IS_CARTA")
     types = {"categoria": canonical_name(F.col("CA_CATEGORY_LIV0")), "carta": F.col("IS_CARTA")}
-    store = FeatureStore(shared_path(spark, "p4-parziali"), CLIENT, TIME, AMOUNT, types, event_id="ID_TRANSAZIONE")
-    names = sorted(r[0] for r in table(spark, d, "categories", "CA_CATEGORY_LIV0").collect() if r[0] is not None)  # a fixed list of 180 names
-    kinds = [(f"{c}__{'carta' if b else 'altro'}", (c, b)) for c in names for b in (True, False)]
-    return store, events, kinds
+    return FeatureStore(path, CLIENT, TIME, AMOUNT, types, event_id="ID_TRANSAZIONE"), events
 
 
 def p4_features(spark: SparkSession, d: str) -> DataFrame:
-    """One row per client: count, last date and total of every pair of category and IS_CARTA."""
-    store, events, kinds = _store(spark, d)
+    """One row per client: count, last date and total of every pair of category and IS_CARTA, from a store built anew."""
+    store, events = _store(spark, d, shared_path(spark, "p4-parziali"))
     store.refresh(events)
-    return store.feature_table(store.merged(events), kinds)
+    return store.feature_table(store.merged(events), KINDS)
+
+
+def p4_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """The buckets of a store that first got the events before 2024-04, then all: rows counted, and whether the second run computed them again."""
+    store, events = _store(spark, d, shared_path(spark, "p4-ripresa"))
+    store.refresh(events.where(f"{TIME} < timestamp_ntz'2024-04-01 00:00:00'"))
+    again = store.refresh(events)
+    return store.partials(spark).groupBy("secchio").agg(F.sum("n").alias("n")).withColumn("rifatto", F.col("secchio").isin(again))
 
 
 def p4_window(spark: SparkSession, d: str) -> DataFrame:
     """The same per client and pair over 2023-11-10 up to 2024-02-10 06:00: whole months from partials, the edges from events."""
-    store, events, _ = _store(spark, d)
+    store, events = _store(spark, d, stable_path(spark, "p4-finestra", d, 1))  # kept from call to call
     store.refresh(events)
     m = store.merged(events, dt.datetime(2023, 11, 10), dt.datetime(2024, 2, 10, 6))
     return m.select(F.col("entita").alias(CLIENT), "categoria", "carta", "n", "ultimo", "centesimi")
@@ -116,7 +139,7 @@ def p6_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return n.select("ID_RIGA", "campo", F.timestamp_add("MICROSECOND", "istante_us", F.expr("timestamp_ntz'1970-01-01 00:00:00'")).cast("timestamp_ntz").alias("istante"), "esito")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p3_found, p3_per_key, p4_features, p4_window, p5_found, p5_rolling, p6_found, p6_outcomes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p3_found, p3_per_key, p4_features, p4_window, p4_refresh, p5_found, p5_rolling, p6_found, p6_outcomes)}
 
 _READINGS = """
 r AS (SELECT t.ID_BIC_CLIENTE, s.passo_ore, epoch_us(t.DATA_TRANSAZIONE) AS us, t.IMPORTO AS v,
@@ -150,6 +173,12 @@ e AS (SELECT ID_TRANSAZIONE, min(ID_BIC_CLIENTE) id, min({_CANON}) categoria, mi
         min(CASE WHEN NOT isnan(IMPORTO) THEN CAST(round(IMPORTO * 100) AS BIGINT) END) c
       FROM client_transactions WHERE ID_BIC_CLIENTE IS NOT NULL GROUP BY 1)"""
 
+
+def _features(name: str, where: str = "true") -> str:
+    f = f"FILTER (WHERE {where})"
+    return f'count(*) {f} AS "{name}n", CAST(max(t) {f} AS DATE) AS "{name}ultimo", coalesce(sum(c) {f}, 0) / 100 AS "{name}totale"'
+
+
 SQL = {
     "p1_found": f"WITH {_READINGS} SELECT ID_BIC_CLIENTE, strftime({_START}, '%Y-%m-%d %H:%M:%S') AS periodo_inizio FROM f WHERE n IS NULL",
     "p1_grid": f"""WITH {_READINGS} SELECT ID_BIC_CLIENTE, p AS periodo, {_START} AS inizio, coalesce(n, 0) AS n_letture,
@@ -167,14 +196,9 @@ SQL = {
         FROM (SELECT k, CAST(sum(w) AS BIGINT) n FROM c GROUP BY k) c LEFT JOIN s ON c.k IS NOT DISTINCT FROM s.k""",
     "p4_window": f"""WITH {_EVENTS} SELECT id AS ID_BIC_CLIENTE, categoria, carta, count(*) AS n, max(t) AS ultimo, CAST(sum(c) AS BIGINT) AS centesimi
         FROM e WHERE t >= TIMESTAMP '2023-11-10' AND t < TIMESTAMP '2024-02-10 06:00:00' GROUP BY 1, 2, 3""",
-    "p4_features": f"""PIVOT (WITH {_EVENTS},
-        k AS (SELECT CA_CATEGORY_LIV0 categoria, carta, CA_CATEGORY_LIV0 || CASE WHEN carta THEN '__carta' ELSE '__altro' END AS kind
-              FROM categories CROSS JOIN (VALUES (true), (false)) b(carta)),
-        a AS (SELECT id, count(*) n, CAST(max(t) AS DATE) ultimo, coalesce(sum(c), 0) / 100 totale FROM e GROUP BY id),
-        s AS (SELECT e.id, k.kind, count(*) kn, CAST(max(t) AS DATE) ku, coalesce(sum(c), 0) / 100 kt FROM e JOIN k USING (categoria, carta) GROUP BY 1, 2)
-        SELECT a.id AS ID_BIC_CLIENTE, a.n, a.ultimo, a.totale, k.kind, coalesce(s.kn, 0) kn, s.ku, coalesce(s.kt, 0) kt
-        FROM a CROSS JOIN (SELECT kind FROM k) k LEFT JOIN s ON s.id = a.id AND s.kind = k.kind)
-        ON kind USING max(kn) AS _n, max(ku) AS _ultimo, max(kt) AS _totale GROUP BY ID_BIC_CLIENTE, n, ultimo, totale""",
+    "p4_features": f"WITH {_EVENTS} SELECT id AS ID_BIC_CLIENTE, {_features('')}, " + ", ".join(_features(f"{n}__", f"categoria = '{c}' AND {'' if b else 'NOT '}carta") for n, (c, b) in KINDS) + " FROM e GROUP BY id",
+    "p4_refresh": f"""SELECT coalesce(strftime(DATA_TRANSAZIONE, '%Y-%m'), 'senza-data') AS secchio, count(DISTINCT (ID_TRANSAZIONE, {_CANON}, IS_CARTA)) AS n,
+        coalesce(max(DATA_TRANSAZIONE) >= TIMESTAMP '2024-04-01', true) AS rifatto FROM client_transactions WHERE ID_BIC_CLIENTE IS NOT NULL GROUP BY 1""",
     "p5_found": f"WITH {_ONCE} SELECT id AS ID_BIC_CLIENTE, strftime(g, '%Y-%m-%d') AS giorno FROM x WHERE c7 > c30",
     "p5_rolling": f"""WITH {_ONCE} SELECT id AS ID_BIC_CLIENTE, g AS giorno,
         n7 AS n_7, c7 / 100 AS totale_7, c7 / 100 / 7 AS media_giorno_7, c7 / 100 / nullif(n7, 0) AS media_7, m7 / 100 AS massimo_7,
