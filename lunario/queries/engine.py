@@ -15,6 +15,7 @@ from lunario.operators.pruning import FeaturePruning
 from lunario.operators.sampling import random_split, sample_rows, sample_series, stratified_histogram, stratified_split, value_buckets
 from lunario.plans.model import TrainingHelper, label_encode, one_hot_encode
 from lunario.plans.pipeline import build
+from lunario.queries.series import PLACES, SERIES
 from lunario.sources.tables import table
 from lunario.streaming.windows import streaming_buckets
 
@@ -72,9 +73,9 @@ _W = """WITH o AS (SELECT date_trunc('week', min(ts)) lo FROM events),
 _KEYS = "user_id, bucket_start, bucket_start + INTERVAL 7 DAY - INTERVAL 1 SECOND AS bucket_end"
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    """Doubles to four places; means a little up, so that exact halves round alike everywhere."""
-    return df.select(*[F.round(F.col(f"`{n}`") + (1e-9 if n.startswith("avg") else 0), 4).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+def _rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    """Doubles to some places, means to nine: sums of cents have no halves there, whichever order they are added in."""
+    return df.select(*[F.round(F.col(f"`{n}`"), 9 if n.startswith("avg") else places).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
 def _aggregated(*aggregations: Aggregation):
@@ -89,16 +90,16 @@ def _aggregated_sql(*columns: tuple[str, str]) -> str:
     return f"{_W} SELECT {_KEYS}, " + ", ".join(f'{sql} AS "{name}"' for sql, name in columns) + " FROM w GROUP BY user_id, bucket_start"
 
 
-_SQL_AGG = {"sum": "round(sum(value), 4)", "count": "count(value)", "avg": "round(avg(value) + 1e-9, 4)", "min": "round(min(value), 4)", "max": "round(max(value), 4)"}
+_SQL_AGG = {"sum": "round(sum(value), 4)", "count": "count(value)", "avg": "round(avg(value), 9)", "min": "round(min(value), 4)", "max": "round(max(value), 4)"}
 for _fn, _text in _SQL_AGG.items():
     register(f"agg_{_fn}", _aggregated(Aggregation("value", _fn)), _aggregated_sql((_text, f"{_fn}(value)")))
-register("agg_first_last", lambda s, d: _first_last(s, d))
-
-
 def _first_last(spark: SparkSession, d: str) -> DataFrame:
     return Aggregating(["user_id"], EDGES, [Aggregation("value", "first"), Aggregation("value", "last", [Filter("event_type", "=", "click")])], order_by="ts")(_weekly(spark, d))
 
 
+register("agg_first_last", _first_last, _aggregated_sql(("arg_min(value, ts)", "first(value)"), ("arg_max(value, ts) FILTER (event_type = 'click')", "last(value)_where_event_type=click")))
+
+
 _FILTERS = {
     "eq": (Filter("event_type", "=", "click"), "event_type = 'click'", "event_type=click"),
     "ne": (Filter("event_type", "!=", "click"), "event_type <> 'click'", "event_type!=click"),
@@ -123,7 +124,7 @@ _TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def _cell(fn: str, where: str) -> str:
-    return f"CASE WHEN count(*) FILTER ({where}) > 0 THEN count(value) FILTER ({where}) END" if fn == "count" else f"round({fn}(value) FILTER ({where}){' + 1e-9' if fn == 'avg' else ''}, 4)"
+    return f"CASE WHEN count(*) FILTER ({where}) > 0 THEN count(value) FILTER ({where}) END" if fn == "count" else f"round({fn}(value) FILTER ({where}), {9 if fn == 'avg' else 4})"
 
 
 register("pivot_explicit", _aggregated(Aggregation("value", "sum", pivot=Pivot("event_type", "=", ["view", "click"]))), _aggregated_sql(*[(_cell("sum", f"event_type = '{t}'"), f"sum(value)_where_event_type={t}") for t in ("view", "click")]))
@@ -133,7 +134,7 @@ register("pivot_count_null", _aggregated(Aggregation("value", "count", pivot=Piv
 register(
     "multi_agg",
     _aggregated(Aggregation("value", "sum"), Aggregation("value", "avg", [Filter("event_type", "=", "view")]), Aggregation("value", "count", pivot=Pivot("event_type", "=", ["error"])), Aggregation("value", "min", [Filter("value", ">", 1)])),
-    _aggregated_sql(("round(sum(value), 4)", "sum(value)"), ("round(avg(value) FILTER (event_type = 'view') + 1e-9, 4)", "avg(value)_where_event_type=view"), (_cell("count", "event_type = 'error'"), "count(value)_where_event_type=error"), ("round(min(value) FILTER (value > 1), 4)", "min(value)_where_value>1")),
+    _aggregated_sql(("round(sum(value), 4)", "sum(value)"), ("round(avg(value) FILTER (event_type = 'view'), 9)", "avg(value)_where_event_type=view"), (_cell("count", "event_type = 'error'"), "count(value)_where_event_type=error"), ("round(min(value) FILTER (value > 1), 4)", "min(value)_where_value>1")),
 )
 register(
     "naming_pattern",
@@ -148,8 +149,8 @@ _FILLED = f"""{_W}, a AS (SELECT user_id, bucket_start, sum(value) s, count(valu
     f AS (SELECT g.user_id, g.bucket_start, coalesce(a.s, 0) s, coalesce(a.c, 0) c FROM g LEFT JOIN a USING (user_id, bucket_start))"""
 
 
-def _filled(spark: SparkSession, d: str) -> DataFrame:
-    step = TimeBucketing("ts", 1, "week")
+def _filled(spark: SparkSession, d: str, unit: str = "week") -> DataFrame:
+    step = TimeBucketing("ts", 1, unit)
     a = Aggregating(["user_id"], EDGES, [Aggregation("value", "sum", new_col_name="somma"), Aggregation("value", "count", [Filter("event_type", "=", "click")], new_col_name="click")])(step(_events(spark, d)))
     return Filling(["user_id"], step)(a)
 
@@ -227,29 +228,20 @@ register(
         u AS (SELECT user_id, max(k) k FROM (SELECT user_id, gu, count(*) k FROM r WHERE up GROUP BY ALL) GROUP BY 1), d AS (SELECT user_id, max(k) k FROM (SELECT user_id, gd, count(*) k FROM r WHERE down GROUP BY ALL) GROUP BY 1)
         SELECT a.user_id, CAST(coalesce(u.k, 0) AS DOUBLE) AS "somma__longest_strike_above_mean", CAST(coalesce(d.k, 0) AS DOUBLE) AS "somma__longest_strike_below_mean" FROM (SELECT DISTINCT user_id FROM x) a LEFT JOIN u USING (user_id) LEFT JOIN d USING (user_id)""",
 )
-register("feat_peaks", _features("number_peaks", "number_crossing_m"))
-register("feat_peak1", lambda s, d: _features("number_peaks")(s, d).select("user_id", "somma__number_peaks__n_1"), _features_sql(("CAST(count(*) FILTER (v > p1 AND v > q1) AS DOUBLE)", "number_peaks__n_1")))
-register("feat_autocorr", _features("autocorrelation"))
-register(
-    "feat_autocorr1", lambda s, d: _features("autocorrelation")(s, d).select("user_id", "somma__autocorrelation__lag_1"),
-    _features_sql(("CASE WHEN max(sd) > 1e-12 AND max(n) > 1 THEN sum((v - m) * (p1 - m)) / ((max(n) - 1) * max(sd) * max(sd)) END", "autocorrelation__lag_1")),
-)
-register(
-    "feat_cid_c3", lambda s, d: _features("cid_ce", "c3", "time_reversal_asymmetry_statistic")(s, d).select("user_id", "somma__cid_ce__normalize_False", "somma__c3__lag_1", "somma__time_reversal_asymmetry_statistic__lag_1"),
-    _features_sql(("sqrt(coalesce(sum(d * d), 0))", "cid_ce__normalize_False"), ("coalesce(avg(v * p1 * p2), 0)", "c3__lag_1"), ("coalesce(avg(v * v * p1 - p1 * p2 * p2), 0)", "time_reversal_asymmetry_statistic__lag_1")),
-)
 register("feat_quantile", _features("quantile"), _features_sql(*[(f"quantile_cont(v, {q})", f"quantile__q_{q}".replace(".", "dot")) for q in (0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9)]))
-register(
-    "feat_linear_trend", lambda s, d: _features("linear_trend")(s, d).select("user_id", *[f"somma__linear_trend__attr_{a}" for a in ("slope", "intercept")]),
-    _features_sql(("regr_slope(v, i - 1)", "linear_trend__attr_slope"), ("regr_intercept(v, i - 1)", "linear_trend__attr_intercept")),
-)
 register("feat_skew_kurt", _features("skewness", "kurtosis"), _features_sql(("CASE WHEN max(n) > 2 AND max(sd) > 0 THEN avg(power((v - m) / nullif(sd, 0), 3)) * sqrt(max(n) * (max(n) - 1)) / (max(n) - 2) END", "skewness"), ("CASE WHEN max(n) > 3 AND max(sd) > 0 THEN (max(n) - 1) / ((max(n) - 2) * (max(n) - 3)) * ((max(n) + 1) * (avg(power((v - m) / nullif(sd, 0), 4)) - 3) + 6) END", "kurtosis")))
-for _name, _calculators in {
-    "feat_fft": ("fft_coefficient", "fft_aggregated", "spkt_welch_density"), "feat_entropy": ("sample_entropy", "approximate_entropy", "permutation_entropy", "binned_entropy", "fourier_entropy", "lempel_ziv_complexity"),
-    "feat_ar": ("ar_coefficient", "partial_autocorrelation", "agg_autocorrelation", "augmented_dickey_fuller"), "feat_shape": ("cwt_coefficients", "matrix_profile", "change_quantiles", "agg_linear_trend", "benford_correlation", "index_mass_quantile", "energy_ratio_by_chunks", "query_similarity_count", "friedrich_coefficients", "max_langevin_fixed_point"),
-    "feat_more": ("mean_n_absolute_max", "ratio_beyond_r_sigma", "sum_of_reoccurring_data_points", "percentage_of_reoccurring_values_to_all_values", "has_duplicate_min"),
-}.items():
-    register(_name, _features(*_calculators))
+
+
+def _daily(places: int, *calculators: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        series = _filled(spark, d, "day").select("user_id", "bucket_start", "somma")
+        return _rounded(FeatureGenerating("user_id", "bucket_start", feature_calculators=list(calculators), drop_nulls=False)(series), places)
+
+    return query
+
+
+for _name, (_calculators, _sql) in SERIES.items():
+    register(_name, _daily(PLACES.get(_name, 4), *_calculators), _sql)
 register("feat_all", lambda s, d: FeatureGenerating("user_id", "bucket_start")(_filled(s, d).drop("bucket_end")))
 register("feat_catalog", lambda s, d: catalog(s))
 
@@ -269,9 +261,11 @@ register("value_buckets", lambda s, d: value_buckets(table(s, d, "orders", "o_or
 register("strat_hist", lambda s, d: stratified_histogram(table(s, d, "orders", "o_totalprice"), "o_totalprice", 10_000, above=0, below=30), "SELECT CAST(floor(o_totalprice / 10000) AS BIGINT) AS bucket, count(*) AS count FROM orders GROUP BY 1 HAVING bucket > 0 AND bucket < 30")
 register("strat_split", lambda s, d: stratified_histogram(stratified_split(table(s, d, "orders", "o_orderkey", "o_totalprice"), "o_totalprice", 0.3, 10_000)[1], "o_totalprice", 10_000))
 register("random_split", lambda s, d: random_split(table(s, d, "orders", "o_orderkey"), 0.3, 7)[1])
-register("label_encode", lambda s, d: label_encode(table(s, d, "orders", "o_orderkey", "o_orderstatus"), ["o_orderstatus"])[0])
-register("one_hot_encode", lambda s, d: one_hot_encode(table(s, d, "orders", "o_orderkey", "o_orderstatus"), ["o_orderstatus"])[0].select("o_orderkey", F.col("o_orderstatus").cast("string").alias("vettore")))
-register("except_distinct", lambda s, d: table(s, d, "customer", "c_nationkey").subtract(table(s, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey")).where("c_nationkey < 10")), "SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey < 10")
+_CODES = "WITH c AS (SELECT o_orderstatus s, count(*) n FROM orders GROUP BY 1), k AS (SELECT s, row_number() OVER (ORDER BY n {}, s) - 1 AS k FROM c)"
+register("label_encode", lambda s, d: label_encode(table(s, d, "orders", "o_orderkey", "o_orderstatus"), ["o_orderstatus"])[0], f"{_CODES.format('ASC')} SELECT o_orderkey, CAST(k AS DOUBLE) AS o_orderstatus FROM orders JOIN k ON s = o_orderstatus")
+register("one_hot_encode", lambda s, d: one_hot_encode(table(s, d, "orders", "o_orderkey", "o_orderstatus"), ["o_orderstatus"])[0].select("o_orderkey", F.col("o_orderstatus").cast("string").alias("vettore")),
+    f"{_CODES.format('DESC')}, z AS (SELECT max(k) z FROM k) SELECT o_orderkey, CASE WHEN k = z THEN '(' || z || ',[],[])' ELSE '(' || z || ',[' || k || '],[1.0])' END AS vettore FROM orders JOIN k ON s = o_orderstatus, z")
+register("except_distinct", lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("chiave")).subtract(table(s, d, "orders").select(F.col("o_custkey").alias("chiave"))), "SELECT c_custkey AS chiave FROM customer EXCEPT SELECT o_custkey FROM orders")
 register("sample_rows", lambda s, d: sample_rows(table(s, d, "orders", "o_orderkey"), 50))
 register("sample_series", lambda s, d: sample_series(_events(s, d), "user_id", 10))
 
