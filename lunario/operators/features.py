@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,7 @@ from lunario.functions.naming import plain_name
 from lunario.functions.series import catalog
 from lunario.functions.series.arrays import PARAMETERS, evaluate
 from lunario.functions.series.sql import AGGREGATES, ARRAYS, BASE, label
+from lunario.session import shared_path
 from lunario.types import need_columns, need_numeric, need_time
 
 
@@ -32,15 +32,17 @@ def drop_null_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     columns = [c for c in df.columns if c not in keep]
     if not columns:
         return df
-    # 60 columns share one number whose bits are set by nulls, so that wide tables need few aggregates.
+    # 60 columns share one number whose bits are set by nulls, so that wide tables need few aggregates. As text: a
+    # table of thousands of columns would take minutes of calls to the JVM, expression by expression.
     parts = [columns[i : i + 60] for i in range(0, len(columns), 60)]
-    bits = [reduce(Column.bitwiseOR, [F.when(F.col(f"`{c}`").isNull(), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, c in enumerate(p)]) for p in parts]
-    seen = df.agg(*[F.coalesce(F.bit_or(b), F.lit(0)) for b in bits]).first()
-    return df.drop(*[F.col(f"`{c}`") for p, mask in zip(parts, seen, strict=True) for k, c in enumerate(p) if mask >> k & 1])
+    bits = ["coalesce(bit_or(" + " | ".join(f"if(`{c}` is null, {1 << k}L, 0L)" for k, c in enumerate(p)) + "), 0L)" for p in parts]
+    seen = df.selectExpr(*bits).first()
+    gone = {c for p, mask in zip(parts, seen, strict=True) for k, c in enumerate(p) if mask >> k & 1}
+    return df.selectExpr(*[f"`{c}`" for c in df.columns if c not in gone])
 
 
 def clean_names(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`").alias(plain_name(c)) for c in df.columns])
+    return df.toDF(*map(plain_name, df.columns))
 
 
 @dataclass
@@ -49,7 +51,7 @@ class FeatureGenerating:
 
     ``excluded_cols_name`` are not series: their value at an entity's least time comes along (``representative``).
     Null and NaN values are not part of a series. Rows of one time keep an order by value. Features that are null for
-    any entity are dropped if ``drop_nulls`` (which costs a pass). An empty table gives no rows.
+    any entity are dropped if ``drop_nulls``, which writes the features to the shared folder and counts nulls there. An empty table gives no rows.
 
     Aggregates and array expressions run in the JVM in one ``groupBy``; only calculators of tier C are handed, as one
     array per series, to numpy. An entity's series has as many values as buckets, not as events.
@@ -95,22 +97,25 @@ class FeatureGenerating:
             if arrays:
                 g = g.withColumn(f"d{i}", F.expr(f"zip_with(slice(a{i}, 2, greatest(size(a{i}) - 1, 0)), slice(a{i}, 1, greatest(size(a{i}) - 1, 0)), (p, q) -> p - q)"))
                 filled = {"{a}": f"a{i}", "{d}": f"d{i}", "{n}": f"CAST(n{i} AS INT)", "{mean}": f"mean{i}", "{sd}": f"sd{i}", "{lo}": f"lo{i}", "{hi}": f"hi{i}"}
-                more = {}
+                more = []
                 for c in arrays:
                     for name, text in ARRAYS[c].items():
                         for token, word in filled.items():
                             text = text.replace(token, word)
                         column = f"f{len(names)}"
-                        more[column] = F.expr(f"CASE WHEN n{i} > 0 THEN CAST(({text}) AS DOUBLE) END")
+                        more.append(f"CASE WHEN n{i} > 0 THEN CAST(({text}) AS DOUBLE) END AS {column}")
                         names.append((f"{kind}__{name}", column))
-                g = g.withColumns(more)
+                g = g.selectExpr("*", *more)
             if numeric:
                 g = g.withColumn(f"c{i}", _in_numpy(numeric)(F.col(f"a{i}")))
                 for k, name in enumerate(label(c, **p) for c in numeric for p in PARAMETERS[c]):
                     names.append((f"{kind}__{name}", f"c{i}[{k}]"))
-        wide = g.select(F.col(ident), *[F.expr(c).cast("double").alias(name) for name, c in names], *[F.col(f"x{i}").alias(c) for i, c in enumerate(out)])
+        wide = g.selectExpr(f"`{ident}`", *[f"CAST({c} AS DOUBLE) AS `{name}`" for name, c in names], *[f"x{i} AS `{c}`" for i, c in enumerate(out)])
         wide = clean_names(wide) if self.plain_names else wide
-        return drop_null_columns(wide, [ident, *out]) if self.drop_nulls else wide
+        if not self.drop_nulls:
+            return wide
+        wide.write.parquet(kept := shared_path(df.sparkSession, "caratteristiche"))  # computed once, for the nulls and for the result
+        return drop_null_columns(df.sparkSession.read.parquet(kept), [ident, *out])
 
 
 def _in_numpy(names: list[str]):

@@ -8,18 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lunario.functions.cumulative import percentile_columns
+from lunario.session import shared_path
 
 
-def compress(df: DataFrame, key: str, value: str, resolution: float | None = None) -> DataFrame:
+def compress(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, weight): each distinct pair once, with the number of its rows.
 
     Rows of a hot key are combined before the shuffle and spread by value, so no task has a key to itself. Null keys
-    and null or NaN values are kept as such. ``resolution``: values are first rounded to multiples of it.
+    and null or NaN values are kept as such.
     """
-    v = F.col(value)
-    if resolution:
-        v = F.round(v.cast("double") / resolution) * resolution
-    return df.select(F.col(key).alias("key"), v.alias("value")).groupBy("key", "value").agg(F.count("*").alias("weight"))
+    return df.select(F.col(key).alias("key"), F.col(value).alias("value")).groupBy("key", "value").agg(F.count("*").alias("weight"))
 
 
 def per_key(df: DataFrame, key: str, value: str, *, per_thousand: Sequence[int] = (), numeric: bool = True) -> DataFrame:
@@ -31,6 +29,9 @@ def per_key(df: DataFrame, key: str, value: str, *, per_thousand: Sequence[int]
     own. Keys without a value have null modes and percentiles. An empty table gives no rows.
     """
     pairs = compress(df, key, value)
+    if per_thousand:  # two results need them; written once, the rows are read once
+        pairs.write.parquet(kept := shared_path(df.sparkSession, "coppie"))
+        pairs = df.sparkSession.read.parquet(kept)
     valid = F.col("value").isNotNull()
     if numeric:
         valid = valid & ~F.isnan(F.col("value").cast("double"))
@@ -43,7 +44,7 @@ def per_key(df: DataFrame, key: str, value: str, *, per_thousand: Sequence[int]
     )
     out = by_key.select("key", "n_righe", "n_valori", "n_distinti", F.col("_top.value").alias("moda"), (-F.col("_top.w")).alias("n_moda"))
     if per_thousand:
-        p = percentile_columns(pairs.where("ok"), "key", "value", "weight", per_thousand).drop("n").withColumnRenamed("key", "_key")
+        p = percentile_columns(pairs, "key", "value", "weight", per_thousand).drop("n").withColumnRenamed("key", "_key")
         out = out.join(p, out["key"].eqNullSafe(p["_key"]), "left").drop("_key")
     return out.withColumnRenamed("key", key)
 

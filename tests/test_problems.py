@@ -75,6 +75,24 @@ def test_per_key(spark):
     assert heavy_keys(df.where("false"), "k", "v").count() == 0
 
 
+def test_one_key_with_most_of_the_distinct_values(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([7] * 18 + [1, 2]), rng.lognormvariate(2, 1)) for _ in range(20_000)] + [(None, 3.5)] * 5 + [(k, float(k)) for k in range(100, 400)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one range
+    try:
+        out = per_key(df, "k", "v", per_thousand=(1, 250, 500, 999, 1000))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r["k"]: r for r in out.collect()}
+    for k in (7, 1, 2, None, 100, 399):
+        v = sorted(x for j, x in rows if j == k)
+        assert [got[k][f"p{p:03d}"] for p in (1, 250, 500, 999, 1000)] == [v[max(1, -(-len(v) * p // 1000)) - 1] for p in (1, 250, 500, 999, 1000)]
+    kept = spark.read.parquet(*[f for f in out.inputFiles() if "frequenze" in f])
+    assert kept.where("_g = 7").select("_part").distinct().count() > 1  # the large key lies in several tasks
+    assert len(got) == len({k for k, _ in rows})
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(-100, 100), max_size=80), st.integers(1, 12))
 def test_two_stack_queue(values, width):
