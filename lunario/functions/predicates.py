@@ -53,15 +53,14 @@ class Filter:
     def check(self, df: DataFrame) -> None:
         """The column must exist and have a type that goes with the value."""
         t = kind_of(df, self.col_name)
-        if isinstance(self.value, list | tuple):
-            return
+        values = self.value if isinstance(self.value, list | tuple) else [self.value]
         fits = {
             bool: lambda: isinstance(t, T.BooleanType),
             int: lambda: isinstance(t, (*INTEGRAL, *FRACTIONAL, T.DecimalType)),
             float: lambda: isinstance(t, (*FRACTIONAL, T.DecimalType)),
             str: lambda: isinstance(t, T.StringType),
         }
-        if not fits[type(self.value)]():
+        if any(not fits[type(v)]() for v in values):
             raise ValueError(f"Mismatch types between {self.col_name} column ({t.simpleString()}) and value {self.value!r}")
 
     def column(self) -> Column:

@@ -321,7 +321,21 @@ def energy_ratio_by_chunks(x, ps):
 
 
 def query_similarity_count(x, ps):
-    return [0.0 if p["query"] is None else NAN for p in ps]
+    """How many windows lie within the threshold of the query, both without their mean and scale; 0 without a query."""
+    out = []
+    for p in ps:
+        q = np.asarray(p["query"] if p["query"] is not None else [], float)
+        if not len(q):
+            out.append(0.0)
+            continue
+        if len(q) > len(x) or q.std() == 0:
+            out.append(NAN)
+            continue
+        w = np.lib.stride_tricks.sliding_window_view(x, len(q))
+        sd = w.std(axis=1)
+        z = (w - w.mean(axis=1, keepdims=True)) / np.where(sd > 1e-12, sd, np.inf)[:, None]
+        out.append(float((np.sqrt(((z - (q - q.mean()) / q.std()) ** 2).sum(axis=1)) <= p["threshold"]).sum()))
+    return out
 
 
 def _drift(x: np.ndarray, degree: int, cells: int) -> np.ndarray | None:

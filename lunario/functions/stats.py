@@ -109,17 +109,38 @@ def fisher(a: int, b: int, c: int, d: int) -> float:
     n, row, col = a + b + c + d, a + b, a + c
     low, high = max(0, row + col - n), min(row, col)
     k = np.arange(low, high + 1)
-    lg = np.vectorize(math.lgamma)
-    logs = -(lg(k + 1.0) + lg(row - k + 1.0) + lg(col - k + 1.0) + lg(n - row - col + k + 1.0))
+    lf = np.r_[0.0, np.cumsum(np.log(np.arange(1, n + 1)))]  # logarithms of factorials
+    logs = -(lf[k] + lf[row - k] + lf[col - k] + lf[n - row - col + k])
     p = np.exp(logs - logs.max())
     own = p[a - low]
     return float(min(1.0, p[p <= own * (1 + 1e-7)].sum() / p.sum()))
 
 
+def _paths(n1: int, n2: int, h: int) -> float:
+    """Share of the lattice paths from (0, 0) to (n1, n2) that somewhere have |i n2 - j n1| >= h."""
+    if h <= 0:
+        return 1.0
+    low, row, scale = 0, np.ones(min(n2, (h - 1) // n1) + 1), 0.0
+    for i in range(1, n1 + 1):
+        begin, end = max(0, (i * n2 - h) // n1 + 1), min(n2, -((-i * n2 - h) // n1) - 1)
+        if end < begin:
+            return 1.0
+        before = np.zeros(end - begin + 1)
+        a, z = max(begin, low), min(end, low + len(row) - 1)
+        if a <= z:
+            before[a - begin : z - begin + 1] = row[a - low : z - low + 1]
+        row, low = np.cumsum(before), begin
+        if (top := row[-1]) == 0:
+            return 1.0
+        row, scale = row / top, scale + math.log(top)
+    inside = scale + math.log(row[-1]) if low + len(row) - 1 == n2 else -math.inf
+    return max(0.0, 1 - math.exp(inside - (math.lgamma(n1 + n2 + 1) - math.lgamma(n1 + 1) - math.lgamma(n2 + 1))))
+
+
 def smirnov(y: np.ndarray, group: np.ndarray, w: np.ndarray) -> float:
     """Two-sided p-value that two groups of weighted values have one distribution, from their greatest distance.
 
-    Exact for equal sizes up to 10,000; otherwise the limiting distribution at the effective size.
+    Exact for sizes up to 10,000; otherwise the limiting distribution at the effective size.
     """
     _, at = np.unique(y, return_inverse=True)
     t1, t2 = np.bincount(at, w * group), np.bincount(at, w * (1 - group))
@@ -136,6 +157,8 @@ def smirnov(y: np.ndarray, group: np.ndarray, w: np.ndarray) -> float:
                 step = (n - k * h - j) * step / (n + k * h + j + 1)
             p = step * (1 - p)
         return min(1.0, 2 * p)
+    if max(n1, n2) <= 10_000:
+        return _paths(int(n1), int(n2), int(round(gap * n1 * n2)))
     z = gap * math.sqrt(n1 * n2 / (n1 + n2))
     if z < 0.2:
         return 1.0

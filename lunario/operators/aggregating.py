@@ -6,13 +6,13 @@ from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lunario.functions.naming import aggregate_name
 from lunario.functions.predicates import Filter, all_of, labels
-from lunario.operators.steps import Step  # noqa: F401
-from lunario.types import need_columns, need_numeric, need_time
+from lunario.operators.steps import Step
+from lunario.types import need_columns, need_numeric, need_rows, need_time
 
 FUNCTIONS = {"sum": F.sum, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max, "first": F.first, "last": F.last}
 
@@ -87,7 +87,7 @@ class Aggregation:
 
 
 @dataclass
-class Aggregating:
+class Aggregating(Step):
     """One row per (identifiers, bucket) and one column per aggregation, all from one scan and one shuffle.
 
     Null keys are keys. Two outputs of one name are an error. ``order_by`` makes ``first`` and ``last`` deterministic.
@@ -107,23 +107,30 @@ class Aggregating:
                 raise ValueError(f"{what} needs at least one entry")
 
     def _values(self, df: DataFrame) -> dict[str, list]:
-        """Distinct values of the columns that are pivoted without values, in one job."""
+        """Distinct values of the columns that are pivoted without values, a job a column."""
         open_ = sorted({a.pivot.col_name for a in self.aggregations if a.pivot and not a.pivot.value})
         if not open_:
             return {}
-        row = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in open_], *[F.max(F.col(c).isNull()).alias(f"null {c}") for c in open_]).first()
-        values = {c: list(row[c]) + ([None] if row[f"null {c}"] else []) for c in open_}
-        for c, v in values.items():
-            if len(v) > self.most_pivot_values:
-                raise ValueError(f"Column {c} has {len(v)} values; a pivot has at most {self.most_pivot_values}")
+        values = {}
+        for c in open_:
+            found = [r[0] for r in df.select(c).distinct().limit(self.most_pivot_values + 1).collect()]  # never more than that are gathered
+            if len(found) > self.most_pivot_values:
+                raise ValueError(f"Column {c} has too many values; a pivot has at most {self.most_pivot_values}")
+            values[c] = sorted(v for v in found if v is not None) + ([None] if None in found else [])
         return values
 
-    def __call__(self, df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    def preprocess(self, df: DataFrame) -> DataFrame:
+        """All checks; an empty table is an error."""
         keys = [*self.identifier_cols_name, *self.time_bucket_cols_name]
         need_columns(df, keys)
         need_time(df, self.time_bucket_cols_name)
         for a in self.aggregations:
             a.check(df)
+        need_rows(df)
+        return df
+
+    def process(self, df: DataFrame) -> DataFrame:
+        keys = [*self.identifier_cols_name, *self.time_bucket_cols_name]
         found = self._values(df)
         values = [None if not a.pivot else list(a.pivot.value or found[a.pivot.col_name]) for a in self.aggregations]
         names = [n for a, v in zip(self.aggregations, values, strict=True) for n in a.names(v)]
@@ -131,8 +138,10 @@ class Aggregating:
             raise ValueError(f"Output names {twice} occur more than once")
         order = F.col(self.order_by) if self.order_by else None
         columns = [c for a, v in zip(self.aggregations, values, strict=True) for c in a.columns(v, order)]
-        out = df.groupBy(*keys).agg(*columns)
-        return out.orderBy(*keys) if self.sort else out
+        return df.groupBy(*keys).agg(*columns)
+
+    def postprocess(self, df: DataFrame) -> DataFrame:
+        return df.orderBy(*self.identifier_cols_name, *self.time_bucket_cols_name) if self.sort else df
 
     def simulate_renaming(self) -> list[tuple[str, str]]:
         """(plain aggregate, output name) of every column that is known without data."""

@@ -5,11 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lunario.functions.cleaning import from_micros, micros, wall, wall_literal
-from lunario.operators.steps import whole_positive
+from lunario.operators.steps import Step, whole_positive
 from lunario.types import need_columns, need_rows, need_time
 
 #: Granularity by first letter: the unit that is counted and how many make one.
@@ -59,7 +59,7 @@ class Grid:
 
 
 @dataclass
-class TimeBucketing:
+class TimeBucketing(Step):
     """Adds ``bucket_start`` and ``bucket_end`` (inclusive: one second before the next start) to every row with a time.
 
     The grid starts at the least time, rounded down to the hour, day, Monday, month or year; ``origin`` fixes it, so
@@ -101,11 +101,14 @@ class TimeBucketing:
         end = (self.grid.add(start, 1) - F.expr("interval 1 second")).cast("timestamp_ntz")
         return [start.alias(self.columns[0]), end.alias(self.columns[1])]
 
-    def __call__(self, df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    def preprocess(self, df: DataFrame) -> DataFrame:
         if self.time_col_name not in df.columns:
             need_rows(df)
             raise ValueError(f"Column {self.time_col_name} is not present")
         need_time(df, [self.time_col_name])
+        return df
+
+    def process(self, df: DataFrame) -> DataFrame:
         t = wall(F.col(self.time_col_name))
         o = wall_literal(self.origin or self.extent(df)[0])
         start = self.grid.add(o, self.grid.number(t, o))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lunario.functions.cleaning import wall
 from lunario.operators.bucketing import TimeBucketing
-from lunario.types import NUMERIC, need_columns, need_time
+from lunario.operators.steps import Step
+from lunario.types import NUMERIC, need_columns, need_rows, need_time
 
 
 @dataclass
-class Filling:
+class Filling(Step):
     """Every bucket from an entity's first to its last, in the grid of its own first bucket; new and null numbers are 0.
 
     Columns that are not numbers stay null in new buckets. Identifiers are never filled. The sequence of an entity is
@@ -26,10 +27,15 @@ class Filling:
     columns: tuple[str, str] = ("bucket_start", "bucket_end")
     fill_value: float = 0
 
-    def __call__(self, df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    def preprocess(self, df: DataFrame) -> DataFrame:
+        """All checks; an empty table is an error."""
+        need_columns(df, [*self.identifier_cols_name, *self.columns])
+        need_time(df, self.columns)
+        need_rows(df)
+        return df
+
+    def process(self, df: DataFrame) -> DataFrame:
         ids, (start, end) = list(self.identifier_cols_name), self.columns
-        need_columns(df, [*ids, start, end])
-        need_time(df, [start, end])
         g = self.time_bucket_step.grid
         span = df.groupBy(*ids).agg(F.min(wall(F.col(start))).alias("_o"), F.max(wall(F.col(start))).alias("_l"))
         k = F.explode(F.sequence(F.lit(0).cast("bigint"), g.number(F.col("_l"), F.col("_o")))).alias("_k")

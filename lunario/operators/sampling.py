@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lunario.functions.cumulative import percentile_columns
+
 
 def sample_rows(df: DataFrame, count: int, seed: int = 0) -> DataFrame:
     """``count`` rows at random; all rows if there are no more. A top-k over random keys: each task keeps ``count`` rows at most."""
@@ -32,15 +34,20 @@ def value_buckets(df: DataFrame, value: str, width: float = 100, column: str = "
 
 
 def stratified_split(df: DataFrame, value: str, test_size: float = 0.3, width: float = 100, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(train, test): each row of every value bucket is tested with the same probability; repeated rows stay.
+    """(train, test): of every value bucket the share ``test_size`` is tested; rows without a number are a bucket too.
 
-    Each row is tagged once by a random number, so a bucket has its share as closely as chance has it and no bucket is
-    gathered anywhere. Write ``df`` first if its rows come in another order at every run.
+    Rows are ordered by a hash of all their columns, and a bucket's first ones are tested, so the same row is on the
+    same side however often and in whatever order it is read; equal rows stay together. The last hash that is tested
+    is the bucket's percentile, which is found without gathering a bucket anywhere.
     """
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
-    tagged = value_buckets(df, value, width, "_b").withColumn("_t", F.rand(seed) < test_size)
-    return tagged.where("not _t").drop("_b", "_t"), tagged.where("_t").drop("_b", "_t")
+    own = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 52))
+    tagged = value_buckets(df, value, width, "_b").withColumn("_h", own)
+    counts = tagged.groupBy("_b", "_h").agg(F.count("*").alias("_w"))
+    last = percentile_columns(counts, "_b", "_h", "_w", [p := round(test_size * 1000)]).select(F.col("_b").alias("_b2"), F.col(f"p{p:03d}").alias("_last"))
+    joined = tagged.join(last, F.col("_b").eqNullSafe(F.col("_b2")))
+    return tuple(joined.where(side).select(*[F.col(f"`{c}`") for c in df.columns]) for side in ("_h > _last", "_h <= _last"))
 
 
 def stratified_histogram(df: DataFrame, value: str, width: float = 100, above: int | None = None, below: int | None = None) -> DataFrame:

@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from typing import Protocol
+from abc import ABC, abstractmethod
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-class Step(Protocol):
-    """A table-to-table step; the session may be left out."""
+class Step(ABC):
+    """A table-to-table step: ``preprocess`` checks and readies the input, ``process`` plans, ``postprocess`` tidies the result.
 
-    def __call__(self, df: DataFrame, spark: SparkSession | None = None) -> DataFrame: ...
+    A step of one's own gives ``process`` and whichever of the others it needs. The session may be left out.
+    """
+
+    def preprocess(self, df: DataFrame) -> DataFrame:
+        return df
+
+    @abstractmethod
+    def process(self, df: DataFrame) -> DataFrame: ...
+
+    def postprocess(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def __call__(self, df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+        return self.postprocess(self.process(self.preprocess(df)))
 
 
 def whole_positive(value: object, what: str) -> int:

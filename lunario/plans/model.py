@@ -36,12 +36,13 @@ def evaluator(metric: str, label: str = "label", prediction: str = "prediction",
     raise ValueError("Metric not supported")
 
 
-def estimator(kind: str, features: str = "features", label: str = "label", params: dict | None = None, num_workers: int | None = None) -> Estimator:
+def estimator(kind: str, features: str = "features", label: str = "label", params: dict | None = None, num_workers: int | None = None, objective: str | None = None) -> Estimator:
     """Boosted trees for two classes and for values, one against the rest or a forest (``forest=True``) for more classes.
 
-    ``num_workers`` is taken for configs; the number of tasks is that of the table's partitions.
+    ``num_workers`` is taken for configs; the number of tasks is that of the table's partitions. ``objective`` is the
+    loss of the boosted trees (regression: ``squared`` or ``absolute``; classes: ``logistic``).
     """
-    params = dict(params or {})
+    params = dict(params or {}) | ({"lossType": objective} if objective else {})
     forest = params.pop("forest", False)
     if kind == "regression":
         return GBTRegressor(featuresCol=features, labelCol=label, **params)
@@ -65,13 +66,13 @@ def label_encode(df: DataFrame, columns: Sequence[str], model: StringIndexerMode
     return out, model, {c: list(a) for c, a in zip(columns, model.labelsArray, strict=True)}
 
 
-def one_hot_encode(df: DataFrame, columns: Sequence[str], drop_last: bool = True) -> tuple[DataFrame, PipelineModel, dict[str, list[str]]]:
-    """Categories as vectors with one 1; names of their slots."""
+def one_hot_encode(df: DataFrame, columns: Sequence[str], drop_last: bool = True, model: PipelineModel | None = None) -> tuple[DataFrame, PipelineModel, dict[str, list[str]]]:
+    """Categories as vectors with one 1; names of their slots. With ``model`` a fitted encoding is applied, so that two tables share their slots."""
     need_columns(df, columns)
     index, temp = [f"{c}_index" for c in columns], [f"{c}_vector" for c in columns]
     stages = [StringIndexer(inputCols=list(columns), outputCols=index, handleInvalid="error"), OneHotEncoder(inputCols=index, outputCols=temp, dropLast=drop_last)]
-    model = Pipeline(stages=stages).fit(df)
-    names = {c: list(a)[: -1 if drop_last else None] for c, a in zip(columns, model.stages[0].labelsArray, strict=True)}
+    model = model or Pipeline(stages=stages).fit(df)
+    names = {c: list(a)[: -1 if model.stages[1].getDropLast() else None] for c, a in zip(columns, model.stages[0].labelsArray, strict=True)}
     out = model.transform(df).drop(*columns, *index).withColumnsRenamed(dict(zip(temp, columns, strict=True)))
     return out, model, names
 
@@ -111,10 +112,10 @@ def better(metric: str) -> str:
     return "max" if evaluator(metric).isLargerBetter() else "min"
 
 
-def tune(train: DataFrame, validation: DataFrame, kind: str, params: dict, metric: str, mode: str | None = None, features: str = "features", label: str = "label") -> tuple[dict, float, list]:
+def tune(train: DataFrame, validation: DataFrame, kind: str, params: dict, metric: str, mode: str | None = None, features: str = "features", label: str = "label", objective: str | None = None) -> tuple[dict, float, list]:
     """(best parameters, best score, all scores) of a grid on a held-out table. Every score can win, whatever its sign."""
     judge, sign = evaluator(metric, label), 1 if (mode or better(metric)) == "max" else -1
-    scores = [(c, judge.evaluate(estimator(kind, features, label, c).fit(train).transform(validation))) for c in combinations(params)]
+    scores = [(c, judge.evaluate(estimator(kind, features, label, c, objective=objective).fit(train).transform(validation))) for c in combinations(params)]
     best = max(scores, key=lambda x: sign * x[1])
     return best[0], best[1], scores
 
@@ -213,22 +214,21 @@ class TrainingHelper:
         if any(isinstance(v, list | tuple) for v in (params or {}).values()):
             raise ValueError("Parameters of fit have single values; use tune for lists")
         need_rows(df)
-        params = dict(params or {}) | ({"lossType": objective} if objective else {})
-        self.model = estimator(self.type, "features", self.label_col_name, params).fit(self._prepare(df, True))
+        self.model = estimator(self.type, "features", self.label_col_name, params, objective=objective).fit(self._prepare(df, True))
         return self
 
     def _metric(self, metric: str | None) -> str:
         return metric or ("rmse" if self.type == "regression" else "f1")
 
-    def tune(self, train: DataFrame, validation: DataFrame, params: dict, metric: str | None = None, mode: str | None = None) -> tuple[dict, float, list]:
+    def tune(self, train: DataFrame, validation: DataFrame, params: dict, metric: str | None = None, mode: str | None = None, objective: str | None = None) -> tuple[dict, float, list]:
         """Search a grid on a held-out table, then keep the model of the best parameters."""
         prepared = self._prepare(train, True)
-        best, value, scores = tune(prepared, self._prepare(validation, False), self.type, params, self._metric(metric), mode, "features", self.label_col_name)
-        self.model = estimator(self.type, "features", self.label_col_name, best).fit(prepared)
+        best, value, scores = tune(prepared, self._prepare(validation, False), self.type, params, self._metric(metric), mode, "features", self.label_col_name, objective)
+        self.model = estimator(self.type, "features", self.label_col_name, best, objective=objective).fit(prepared)
         return best, value, scores
 
-    def tune_cv(self, df: DataFrame, params: dict, metric: str | None = None, folds: int = 5) -> list[float]:
-        base = estimator(self.type, "features", self.label_col_name)
+    def tune_cv(self, df: DataFrame, params: dict, metric: str | None = None, folds: int = 5, objective: str | None = None) -> list[float]:
+        base = estimator(self.type, "features", self.label_col_name, objective=objective)
         self.model, means = tune_cv(self._prepare(df, True), base, params, evaluator(self._metric(metric), self.label_col_name), folds)
         return means
 
@@ -241,9 +241,10 @@ class TrainingHelper:
         need_columns(predicted, ["prediction", self.label_col_name])
         return evaluator(self._metric(metric), self.label_col_name).evaluate(predicted)
 
-    def parameters(self, with_none: bool = False) -> dict[str, object]:
-        params = {p.name: v for p, v in self.model.extractParamMap().items()}
-        return params if with_none else {k: v for k, v in params.items() if v is not None}
+    def parameters(self, with_none: bool = False, with_doc: bool = False) -> dict[str, object]:
+        """The model's parameters; with ``with_doc`` each as (value, what it means)."""
+        params = {p.name: (v, p.doc) if with_doc else v for p, v in self.model.extractParamMap().items() if with_none or v is not None}
+        return params
 
     def feature_importance(self, spark: SparkSession, kind: str = "weight") -> DataFrame:
         rows = list(importances(self.model, self.names, kind).items())
