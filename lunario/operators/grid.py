@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lunario.functions.cleaning import from_micros, micros, number_or_null
+from lunario.session import shared_path
 
 #: Periods in a block; windows run inside blocks, so that no source's grid lies in one task.
 BLOCK = 1024
@@ -18,13 +19,15 @@ def periods_with_readings(readings: DataFrame, source: str, time: str, value: st
     r = readings.select(F.col(source).alias("_id"), us.alias("_us"), number_or_null(F.col(value)).alias("_v"))
     r = r.where("_id is not null and _us is not null and _v is not null")
     s = steps.groupBy(F.col(source).alias("_id")).agg(F.min(F.col(step).cast("bigint")).alias("_step")).where("_id is not null and _step > 0")
-    r = r.join(s, "_id").withColumn("_p", F.expr(f"floor((_us - {int(origin_us)}L) / (_step * {HOUR_US}L))").cast("bigint"))
-    return r.groupBy("_id", "_step", "_p").agg(
-        F.count("*").alias("_n"),
-        F.sum("_v").alias("_sum"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.max(F.struct("_us", "_v"))["_v"].alias("_last"),
+    # Steps are whole hours, so readings are combined by hour before they meet their steps: what is shuffled by source
+    # are hours, of which a source has no more than the time it spans, however many readings it has.
+    hour = F.expr(f"floor((_us - {int(origin_us)}L) / {HOUR_US}L)").cast("bigint").alias("_hour")
+    hours = r.groupBy("_id", hour).agg(
+        F.count("*").alias("_n"), F.sum("_v").alias("_sum"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.max(F.struct("_us", "_v")).alias("_last")
+    )
+    hours = hours.join(s, "_id").withColumn("_p", F.expr("floor(_hour / _step)").cast("bigint"))
+    return hours.groupBy("_id", "_step", "_p").agg(
+        F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"), F.min("_min").alias("_min"), F.max("_max").alias("_max"), F.max("_last")["_v"].alias("_last")
     )
 
 
@@ -54,11 +57,13 @@ def regular_grid(
     value is the last. Sources without a positive step have no periods and give no row; a step given twice counts as
     the least. Repeated readings count each. Empty tables give no rows; further columns are ignored.
 
-    Scale: readings are combined before the shuffle on (source, period), so a source with a third of all readings is
-    spread over its periods. Sequences are made in blocks of ``block`` periods and windows run inside a block; only
+    Scale: readings are combined by (source, hour) before they meet the steps, so a source with a third of all
+    readings is spread over its hours and comes to its step as no more rows than it spans hours. Sequences are made in blocks of ``block`` periods and windows run inside a block; only
     one row per block (last observation in it) is passed along a source.
     """
     known = periods_with_readings(readings, source, time, value, steps, step_hours, origin_us)
+    known.write.parquet(kept := shared_path(readings.sparkSession, "p1-periodi"))  # blocks and grid need it; the readings are read once
+    known = readings.sparkSession.read.parquet(kept)
     b = F.expr(f"floor(_p / {int(block)})").cast("bigint")
     per_block = known.groupBy("_id", b.alias("_b")).agg(
         F.min("_step").alias("_step"), F.min("_p").alias("_p0"), F.max(F.struct("_p", "_last")).alias("_tail")
