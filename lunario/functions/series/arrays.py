@@ -17,6 +17,7 @@ from lunario.functions.stats import norm_cdf, t_two_sided
 NAN = float("nan")
 QUANTILE_PAIRS = [(lo, hi) for lo in (0.0, 0.2, 0.4, 0.6, 0.8) for hi in (0.2, 0.4, 0.6, 0.8, 1.0) if lo < hi]
 WIDTHS = (2, 5, 10, 20)
+# Public names of the calculators and the parameters of each.
 PARAMETERS: dict[str, list[dict]] = {
     "fft_coefficient": [{"attr": a, "coeff": k} for a in ("real", "imag", "abs", "angle") for k in range(100)],
     "fft_aggregated": [{"aggtype": a} for a in ("centroid", "variance", "skew", "kurtosis")],

@@ -23,6 +23,7 @@ def spark():
 @pytest.fixture(scope="session")
 def bucketed(spark):
     """Rows already in daily buckets (shape F4 of the fixtures)."""
+    # The rows that the expected results of the tests belong to.
     a, b = 348272371, 234984832
     rows = [
         (a, "2023-01-01", 55, "shopping", True), (a, "2023-01-01", 61, "salute", False), (a, "2023-01-01", 82, "trasporti", False), (a, "2023-01-01", 15, "trasporti", True),
